@@ -1,0 +1,2 @@
+"""Intentionally empty: every input of this workload is a batch read, and no query has a
+window, watermark or state. See the README, "Not included"."""
