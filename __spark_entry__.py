@@ -10,6 +10,7 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -97,7 +98,7 @@ def _registration_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     """All registrations as lines with a header among them, and the header."""
     rows = registrations(spark, sf)
     header = ",".join(header_cells("CourseRegistrations", rows.count()))
-    first = spark.createDataFrame([(header,)], "value string")
+    first = spark.range(1).select(F.lit(header).alias("value"))
     return first.union(to_lines(rows)), header
 
 
@@ -183,8 +184,8 @@ def _format_result(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _local_sum_count(spark: SparkSession, sf: str) -> DataFrame:
-    students = spark.createDataFrame([(s,) for s in STUDENTS], "student_id bigint")
-    return totals_of_students(registrations(spark, sf), students)
+    students = pa.table({"student_id": pa.array(STUDENTS, pa.int64())})
+    return totals_of_students(registrations(spark, sf), spark.createDataFrame(students))
 
 
 def _tagged_union(spark: SparkSession, sf: str) -> DataFrame:

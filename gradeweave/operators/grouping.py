@@ -45,36 +45,45 @@ def grade_lists(
     outside = F.count_if(F.col(value).isNull() | ~F.col(value).isin(*GRADES))
     tallies = [F.count_if(F.col(value) == grade).alias(f"n{grade}") for grade in GRADES]
     counted = df.groupBy(key).agg(*tallies, outside.alias("outside"))
+    complaint = F.concat(F.lit(f"value is no grade, {key} "), F.col(key).cast("string"))
     total = reduce(add, [F.col(f"n{grade}") for grade in GRADES])
-    checked = F.when(
-        F.col("outside") > 0,
-        F.raise_error(
-            F.format_string("key %s has %s values that are no grade", F.col(key).cast("string"), F.col("outside"))
-        ).cast("long"),
-    ).otherwise(total)
-    counted = counted.withColumn("total", checked).drop("outside")
-
-    short = counted.where(F.col("total") <= length).withColumn("part", F.lit(0).cast("long"))
-    long = counted.where(F.col("total") > length).withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(total - 1) div {length}")))
+    counted = counted.withColumn(
+        "total",
+        F.when(F.col("outside") > 0, F.raise_error(complaint).cast("long")).otherwise(total),
     )
-    parts = short.unionByName(long.repartition(key, "part"))
 
+    short = counted.where(F.col("total") <= length)
+    whole = [F.array_repeat(F.lit(grade), F.col(f"n{grade}").cast("int")) for grade in GRADES]
+    short_lists = short.select(
+        key, F.lit(0).cast("long").alias("part"), F.concat(*whole).alias("grades")
+    )
+
+    last = F.expr(f"(total - 1) div {length}")
+    long = (
+        counted.where(F.col("total") > length)
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .repartition(key, "part")
+    )
     low = F.col("part") * length
-    high = low + length
-    runs = []
+    pieces = []
     start: Column = F.lit(0).cast("long")
     for grade in GRADES:
         end = start + F.col(f"n{grade}")
-        shown = F.greatest(F.lit(0), F.least(end, high) - F.greatest(start, low))
-        runs.append(F.array_repeat(F.lit(grade), shown.cast("int")))
+        shown = F.greatest(F.lit(0), F.least(end, low + length) - F.greatest(start, low))
+        pieces.append(F.array_repeat(F.lit(grade), shown.cast("int")))
         start = end
-    return parts.select(key, "part", F.concat(*runs).alias("grades"))
+    long_lists = long.select(key, "part", F.concat(*pieces).alias("grades"))
+
+    return short_lists.unionByName(long_lists)
 
 
 def explode_lists(lists: DataFrame, key: str, value: str = "grade") -> DataFrame:
-    """key, value: one row per element of the lists."""
-    return lists.select(key, F.explode("grades").alias(value))
+    """key, value: one row per element of the lists.
+
+    No list is empty, so the outer form gives the same rows; the inner one would build each
+    list twice more to test that it is not empty.
+    """
+    return lists.select(key, F.explode_outer("grades").alias(value))
 
 
 def list_text(grades: str = "grades") -> Column:

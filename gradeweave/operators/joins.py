@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,25 +22,37 @@ _REPORTED = 16
 
 
 def hot_keys(
-    df: DataFrame, key: str, *, share: float = HOT_SHARE, least: int = HOT_ROWS
+    key: str, *sides: DataFrame, share: float = HOT_SHARE, least: int = HOT_ROWS
 ) -> list:
-    """The keys that hold at least ``share`` of the rows and at least ``least`` rows.
+    """The keys that hold at least ``share`` of a side's rows and at least ``least`` rows.
 
-    One pass over the key column with a frequent-items sketch per hash bucket of the key:
-    the tasks send sketches of fixed size, never the distinct keys, and at most
-    ``1 / share`` keys come back. The answer only steers where rows are joined. A key the
-    sketch misses is joined like any other, so the join's result never depends on it.
+    One pass over the key columns with a frequent-items sketch per side and hash bucket of
+    the key: the tasks send sketches of fixed size, never the distinct keys, and about
+    ``1 / share`` keys per side come back at most. The answer only steers where rows are
+    joined. A key the sketch misses is joined like any other, so the join's result never
+    depends on it.
     """
-    sketch = F.expr(f"approx_top_k(`{key}`, {_REPORTED}, {_TRACKED})")
+    columns = [side.select(F.lit(i).alias("side"), F.col(key)) for i, side in enumerate(sides)]
     buckets = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias("bucket"))
-        .agg(sketch.alias("top"), F.count("*").alias("rows"))
+        reduce(DataFrame.unionByName, columns)
+        .where(F.col(key).isNotNull())
+        .groupBy("side", F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias("bucket"))
+        .agg(
+            F.expr(f"approx_top_k(`{key}`, {_REPORTED}, {_TRACKED})").alias("top"),
+            F.count("*").alias("rows"),
+        )
         .collect()
     )
-    bar = max(least, share * sum(bucket["rows"] for bucket in buckets))
+    rows = Counter()
+    for bucket in buckets:
+        rows[bucket["side"]] += bucket["rows"]
     return sorted(
-        item["item"] for bucket in buckets for item in bucket["top"] if item["count"] >= bar
+        {
+            item["item"]
+            for bucket in buckets
+            for item in bucket["top"]
+            if item["count"] >= max(least, share * rows[bucket["side"]])
+        }
     )
 
 
@@ -55,10 +70,7 @@ def equi_join(
     Rows of hot keys are joined apart from the rest: by broadcasting the side that has few
     of them, or on a grid when both sides have many. The rest is an ordinary shuffle join.
     """
-    hot = sorted(
-        set(hot_keys(left, key, share=share, least=least))
-        | set(hot_keys(right, key, share=share, least=least))
-    )
+    hot = hot_keys(key, left, right, share=share, least=least)
     if not hot:
         return left.join(right, key)
     is_hot = F.col(key).isin(hot)

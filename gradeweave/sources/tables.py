@@ -63,6 +63,7 @@ def read_with_header_row(
     return (
         spark.read.schema(table_schema(name, key_type))
         .option("header", False)
+        .option("nullValue", MISSING)
         .option("quote", "")
         .option("mode", "PERMISSIVE")
         .csv(table_path(folder, name))
@@ -115,6 +116,7 @@ def parse_lines(lines: DataFrame, schema: StructType, *, strict: bool = True) ->
 
 
 def _typed(cell: Column, data_type: DataType, name: str, strict: bool) -> Column:
+    # Missing cells are taken out first: a failing try_cast throws and catches per row.
     value = F.nullif(cell, F.lit(MISSING))
     if not isinstance(data_type, StringType):
         value = value.try_cast(data_type)
