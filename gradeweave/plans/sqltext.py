@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeweave.operators.sizes import BROADCAST_BYTES, fits_broadcast
 from gradeweave.sources.schemas import PASS_MARK
+from gradeweave.sources.shared import written
 
 # Offers are filtered and registrations summed per offer before they meet, so neither an
 # offer with very many registrations nor one listed repeatedly weighs on the join.
@@ -69,11 +70,15 @@ def average_of_student(
 ) -> DataFrame:
     """average_grade (double) of a student's passed registrations that have an offer.
 
-    Always one row; null when there is no such registration. When the student's per-offer
-    sums are measured to be small, they are broadcast and the offers are not shuffled.
+    Always one row; null when there is no such registration. The student's sums per offer
+    are written out, so that the registrations are read once and the size of the sums is
+    known: when they are small they are broadcast and the offers are not shuffled.
     """
     registrations.createOrReplaceTempView("registrations")
-    totals = spark.sql(STUDENT_TOTALS, args={"student": student_id, "pass_mark": PASS_MARK})
+    totals = written(
+        spark.sql(STUDENT_TOTALS, args={"student": student_id, "pass_mark": PASS_MARK}),
+        "student-totals",
+    )
     listed = offers.select(F.col("offer_id").alias("listed_id"))
     if fits_broadcast(totals, limit):
         totals = F.broadcast(totals)

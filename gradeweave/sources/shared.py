@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -40,3 +40,16 @@ def enable_checkpoints(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, written to the shared folder once and read back.
+
+    For a result that is costly to compute and needed more than once, or whose size must be
+    known before the next step is planned: the planner sees the size of the files. Losing
+    an executor does not lose it. The files stay; the owner of the folder cleans it.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

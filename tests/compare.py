@@ -1,5 +1,7 @@
-"""Run a registered query and its SQL and compare schema family, row count and rows."""
+"""Compare DataFrames with each other and with SQL results, regardless of row order."""
 
+import contextlib
+import io
 import math
 
 import duckdb
@@ -28,28 +30,33 @@ def connect(folder):
 
 
 def sort_key(row):
-    return tuple((value is not None, str(type(value)), value if value is not None else 0) for value in row)
+    return tuple((value is not None, value if value is not None else 0) for value in row)
 
 
-def spark_rows(df):
-    names = sorted(df.columns)
-    return sorted((tuple(row[name] for name in names) for row in df.collect()), key=sort_key)
+def rows_of(df):
+    """All rows as tuples, sorted, columns in the order of the DataFrame."""
+    return sorted((tuple(row) for row in df.collect()), key=sort_key)
 
 
-def sql_rows(connection, sql):
+def plan_of(df):
+    """The text of ``explain``."""
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain()
+    return text.getvalue()
+
+
+def assert_same(df, connection, sql):
+    """Same column names and types, same number of rows, same values."""
     result = connection.execute(sql)
     names = [column[0] for column in result.description]
     types = {column[0]: str(column[1]) for column in result.description}
     order = sorted(range(len(names)), key=lambda i: names[i])
-    rows = sorted((tuple(row[i] for i in order) for row in result.fetchall()), key=sort_key)
-    return sorted(names), types, rows
+    expected = sorted((tuple(row[i] for i in order) for row in result.fetchall()), key=sort_key)
 
-
-def assert_same(df, connection, sql):
-    names, types, expected = sql_rows(connection, sql)
-    assert sorted(df.columns) == names
+    assert sorted(df.columns) == sorted(names)
     assert {name: TYPE_NAMES[kind] for name, kind in df.dtypes} == types
-    found = spark_rows(df)
+    found = rows_of(df.select(*sorted(df.columns)))
     assert len(found) == len(expected)
     for mine, theirs in zip(found, expected):
         for a, b in zip(mine, theirs):
@@ -57,4 +64,3 @@ def assert_same(df, connection, sql):
                 assert a == b or math.isclose(a, b, rel_tol=1e-12), (mine, theirs)
             else:
                 assert a == b, (mine, theirs)
-    return len(found)

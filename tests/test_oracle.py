@@ -1,12 +1,7 @@
 """Every registered query against its SQL, on the two smaller data sets."""
 
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent.parent)]
-
 import __spark_entry__ as registered
 from compare import assert_same, connect
 from conftest import TESTDATA
