@@ -13,13 +13,14 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import LongType
 
 # The package lies next to this file, wherever the file is loaded from.
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from gradeweave.functions.grades import graded
 from gradeweave.operators.grouping import (
+    LIST_LENGTH,
     count_rows,
     explode_lists,
     grade_lists,
@@ -41,16 +42,19 @@ from gradeweave.plans.cdf import (
     cumulative_counts_reduced,
 )
 from gradeweave.plans.sqltext import average_by_offer, average_of_student
-from gradeweave.sources.schemas import header_cells
+from gradeweave.sources.schemas import table_schema
 from gradeweave.sources.shared import new_path
 from gradeweave.sources.standins import offers, point_rows, points, registrations
 from gradeweave.sources.tables import (
     append_tag,
     drop_header,
     drop_missing,
+    first_line,
     parse_lines,
+    read_lines,
     read_table,
     read_with_header_row,
+    table_path,
     to_lines,
     write_table,
 )
@@ -86,37 +90,26 @@ def _scan_points(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, folder, "QuantilePoints")
 
 
-def _scan_header_as_null(spark: SparkSession, sf: str) -> DataFrame:
-    folder = write_table(
+def _written_registrations(spark: SparkSession, sf: str) -> str:
+    return write_table(
         registrations(spark, sf), new_path(spark, "tables"), "CourseRegistrations"
     )
-    rows = read_with_header_row(spark, folder, "CourseRegistrations", key_type=LongType())
-    return rows.where(F.col("grade") >= 5)
 
 
-def _registration_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
-    """All registrations as lines with a header among them, and the header."""
-    rows = registrations(spark, sf)
-    header = ",".join(header_cells("CourseRegistrations", rows.count()))
-    first = spark.range(1).select(F.lit(header).alias("value"))
-    return first.union(to_lines(rows)), header
+def _scan_header_as_null(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _written_registrations(spark, sf)
+    rows = read_with_header_row(spark, folder, "CourseRegistrations", key_type=LongType())
+    return rows.where(F.col("grade") >= 5)
 
 
 def _drop_header(spark: SparkSession, sf: str) -> DataFrame:
-    lines, header = _registration_lines(spark, sf)
-    return drop_missing(drop_header(lines, header))
+    path = table_path(_written_registrations(spark, sf), "CourseRegistrations")
+    return drop_missing(drop_header(read_lines(spark, path), first_line(spark, path)))
 
 
 def _split_cast(spark: SparkSession, sf: str) -> DataFrame:
-    lines, header = _registration_lines(spark, sf)
-    schema = StructType(
-        [
-            StructField("offer_id", LongType()),
-            StructField("student_id", LongType()),
-            StructField("grade", IntegerType()),
-        ]
-    )
-    return parse_lines(drop_header(lines, header), schema)
+    schema = table_schema("CourseRegistrations", LongType())
+    return parse_lines(to_lines(registrations(spark, sf)), schema)
 
 
 def _tag_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -266,7 +259,6 @@ _REGISTRATIONS = """(SELECT l_orderkey AS offer_id, l_suppkey AS student_id,
 _POINT_ROWS = "(SELECT p_size AS q FROM part WHERE p_size <= 12)"
 _POINTS = "(SELECT DISTINCT p_size AS q FROM part WHERE p_size <= 12)"
 _PASSED = f"(SELECT offer_id, grade FROM {_REGISTRATIONS} WHERE grade >= 5)"
-_LIST_LENGTH = 1_000_000
 
 
 def _course_rows(which: dict[str, int]) -> str:
@@ -360,7 +352,7 @@ def oracle_sql() -> dict[str, str]:
         "collect_grades": f"""
           SELECT offer_id, part, string_agg(CAST(grade AS VARCHAR), ',' ORDER BY grade) AS grades
           FROM (SELECT offer_id, grade, (row_number() OVER (
-              PARTITION BY offer_id ORDER BY grade) - 1) // {_LIST_LENGTH} AS part
+              PARTITION BY offer_id ORDER BY grade) - 1) // {LIST_LENGTH} AS part
             FROM {_PASSED})
           GROUP BY offer_id, part""",
         "explode_grades": f"SELECT * FROM {_PASSED}",

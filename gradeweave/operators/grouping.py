@@ -88,4 +88,4 @@ def explode_lists(lists: DataFrame, key: str, value: str = "grade") -> DataFrame
 
 def list_text(grades: str = "grades") -> Column:
     """An array of grades as comma-separated text."""
-    return F.array_join(F.transform(grades, lambda grade: grade.cast("string")), ",")
+    return F.concat_ws(",", F.col(grades).cast("array<string>"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,49 +10,39 @@ from pyspark.sql import functions as F
 from gradeweave.operators.sizes import BROADCAST_BYTES, fits_broadcast
 from gradeweave.operators.theta import theta_join
 
-# A key is hot when it holds this share of a side's rows. Below it, the skew handling of
-# adaptive execution is enough.
-HOT_SHARE = 1 / 1000
-HOT_ROWS = 1_000_000
+# A key is hot when it has more rows than one task should join. Below that, the skew
+# handling of adaptive execution is enough.
+HOT_ROWS = 5_000_000
 
-_BUCKETS = 64
-_TRACKED = 64
-_REPORTED = 16
+# At most this many hot keys per side are treated apart.
+HOT_KEYS = 1000
+
+# Share of the rows that is looked at to find hot keys: 5000 rows of a key at the bar.
+LOOK_AT = 1 / 1000
 
 
 def hot_keys(
-    key: str, *sides: DataFrame, share: float = HOT_SHARE, least: int = HOT_ROWS
+    key: str, *sides: DataFrame, rows: int = HOT_ROWS, look_at: float = LOOK_AT
 ) -> list:
-    """The keys that hold at least ``share`` of a side's rows and at least ``least`` rows.
+    """The heaviest keys that have about ``rows`` rows or more on one of the sides.
 
-    One pass over the key columns with a frequent-items sketch per side and hash bucket of
-    the key: the tasks send sketches of fixed size, never the distinct keys, and about
-    ``1 / share`` keys per side come back at most. The answer only steers where rows are
-    joined. A key the sketch misses is joined like any other, so the join's result never
-    depends on it.
+    An estimate from a small sample of the key columns, so that only few keys are shuffled
+    and at most ``HOT_KEYS`` per side come back. It only steers where rows are joined: a key
+    that is missed, or taken for hot wrongly, is joined all the same. Every row is joined.
     """
-    columns = [side.select(F.lit(i).alias("side"), F.col(key)) for i, side in enumerate(sides)]
-    buckets = (
-        reduce(DataFrame.unionByName, columns)
+    estimates = [
+        side.select(key)
         .where(F.col(key).isNotNull())
-        .groupBy("side", F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias("bucket"))
-        .agg(
-            F.expr(f"approx_top_k(`{key}`, {_REPORTED}, {_TRACKED})").alias("top"),
-            F.count("*").alias("rows"),
-        )
-        .collect()
-    )
-    rows = Counter()
-    for bucket in buckets:
-        rows[bucket["side"]] += bucket["rows"]
-    return sorted(
-        {
-            item["item"]
-            for bucket in buckets
-            for item in bucket["top"]
-            if item["count"] >= max(least, share * rows[bucket["side"]])
-        }
-    )
+        .sample(False, look_at, 0)
+        .groupBy(key)
+        .agg(F.count("*").alias("seen"))
+        .where(F.col("seen") >= rows * look_at)
+        .orderBy(F.col("seen").desc())
+        .limit(HOT_KEYS)
+        .select(key)
+        for side in sides
+    ]
+    return sorted({row[key] for row in reduce(DataFrame.union, estimates).collect()})
 
 
 def equi_join(
@@ -61,16 +50,17 @@ def equi_join(
     right: DataFrame,
     key: str,
     *,
-    share: float = HOT_SHARE,
-    least: int = HOT_ROWS,
+    hot: list | None = None,
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Inner join of whole rows on ``key``, with bag semantics and one key column.
 
-    Rows of hot keys are joined apart from the rest: by broadcasting the side that has few
-    of them, or on a grid when both sides have many. The rest is an ordinary shuffle join.
+    Rows of ``hot`` keys (found by ``hot_keys`` unless given) are joined apart from the
+    rest: by broadcasting the side that has few of them, or on a grid when both sides have
+    many. The rest is an ordinary shuffle join.
     """
-    hot = hot_keys(key, left, right, share=share, least=least)
+    if hot is None:
+        hot = hot_keys(key, left, right)
     if not hot:
         return left.join(right, key)
     is_hot = F.col(key).isin(hot)

@@ -49,18 +49,18 @@ def many_offers(spark):
 
 
 def test_hot_keys_are_found(skewed, many_offers):
-    assert hot_keys("offer_id", skewed[0], share=0.05, least=100) == [1]
-    assert hot_keys("offer_id", many_offers[0], skewed[0], share=0.05, least=100) == [1]
-    assert hot_keys("offer_id", skewed[0], share=0.05) == []
+    assert hot_keys("offer_id", skewed[0], rows=100, look_at=1.0) == [1]
+    assert hot_keys("offer_id", skewed[0], rows=1000, look_at=0.2) == [1]
+    assert hot_keys("offer_id", many_offers[0], skewed[0], rows=3, look_at=1.0)[:2] == [0, 1]
+    assert hot_keys("offer_id", many_offers[0], skewed[0]) == []
     assert hot_keys("offer_id", skewed[0].limit(0)) == []
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 0], ids=["broadcast", "grid"])
-def test_hot_keys_do_not_change_the_join(spark, skewed, many_offers, limit):
+@pytest.mark.parametrize("hot", [[1], [1, 2, 250, 777], []], ids=["one", "some", "none"])
+def test_hot_keys_do_not_change_the_join(skewed, many_offers, limit, hot):
     plain = many_offers[0].join(skewed[0], "offer_id")
-    split = equi_join(
-        many_offers[0], skewed[0], "offer_id", share=0.05, least=100, limit=limit
-    )
+    split = equi_join(many_offers[0], skewed[0], "offer_id", hot=hot, limit=limit)
     assert split.columns == plain.columns
     assert rows_of(split) == rows_of(plain)
 
