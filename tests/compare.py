@@ -38,11 +38,11 @@ def rows_of(df):
     return sorted((tuple(row) for row in df.collect()), key=sort_key)
 
 
-def plan_of(df):
+def plan_of(df, mode="simple"):
     """The text of ``explain``."""
     text = io.StringIO()
     with contextlib.redirect_stdout(text):
-        df.explain()
+        df.explain(mode=mode)
     return text.getvalue()
 
 

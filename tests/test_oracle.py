@@ -1,10 +1,17 @@
 """Every registered query against its SQL, on the two smaller data sets."""
 
 import pytest
+from compare import assert_same, connect, plan_of, rows_of
+from conftest import TESTDATA
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
-from compare import assert_same, connect
-from conftest import TESTDATA
+from gradeweave.operators.grouping import grade_lists, list_text
+from gradeweave.operators.joins import equi_join
+from gradeweave.operators.theta import grid_join
+from gradeweave.plans.averages import average_of_course, average_of_only_offer, passed
+from gradeweave.plans.sqltext import average_of_student
+from gradeweave.sources.standins import offers, points, registrations
 
 QUERIES = registered.queries()
 ORACLES = registered.oracle_sql()
@@ -39,3 +46,74 @@ def test_sample_is_a_part_of_the_rows(spark, data):
 def test_entry(spark):
     rows = registered.entry(spark).collect()
     assert [tuple(row) for row in rows] == [(60, pytest.approx(rows[0]["average_grade"]))]
+
+
+OTHER_PLANS = {
+    "avg_course_double": lambda spark, folder: average_of_course(
+        offers(spark, folder), registrations(spark, folder), limit=0, **registered.MULTI
+    ),
+    "avg_single_offer": lambda spark, folder: average_of_only_offer(
+        offers(spark, folder), registrations(spark, folder), limit=0, **registered.SINGLE
+    ),
+    "avg_single_offer_rejected": lambda spark, folder: average_of_only_offer(
+        offers(spark, folder), registrations(spark, folder), limit=0, **registered.MULTI
+    ),
+    "avg_student": lambda spark, folder: average_of_student(
+        spark,
+        offers(spark, folder),
+        registrations(spark, folder),
+        student_id=registered.STUDENT,
+        limit=0,
+    ),
+    "equi_join": lambda spark, folder: equi_join(
+        offers(spark, folder), registrations(spark, folder), "offer_id", hot=[1, 2, 3, 500]
+    ),
+    "collect_grades": lambda spark, folder: grade_lists(
+        passed(registrations(spark, folder)), "offer_id", length=100
+    ).select("offer_id", "part", list_text().alias("grades")),
+    # Every registration meets every point on the grid, without counting grades first.
+    "grade_cdf": lambda spark, folder: grid_join(
+        registrations(spark, folder), points(spark, folder), F.col("grade") <= F.col("q"),
+        rows=4, cols=2,
+    )
+    .groupBy("q")
+    .agg(F.count("*").alias("n")),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OTHER_PLANS))
+def test_other_plans_give_the_same_rows(spark, data, name):
+    folder, connection = data
+    assert_same(OTHER_PLANS[name](spark, folder), connection, ORACLES[name])
+
+
+def test_filters_and_columns_reach_the_scans(spark):
+    folder = f"{TESTDATA}/sf0.001"
+    df = QUERIES["avg_course_double"](spark, folder)
+    details = plan_of(df, "formatted")
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in details
+    assert "EqualTo(o_custkey,60)" in details
+    assert "GreaterThanOrEqual(o_orderdate,2000-10-01T00:00)" in details
+    plan = plan_of(df)
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "partial_sum" in plan
+
+
+def test_totals_are_shuffled_before_the_join_not_registrations(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES["avg_by_offer"](spark, f"{TESTDATA}/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "partial_sum" in plan
+    # One shuffle per table, none after the join.
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("year,quartile", [(1998, 1), (1998, 4), (2000, 2), (2001, 3)])
+def test_period_range_keeps_the_rows_of_the_period(spark, year, quartile):
+    folder = f"{TESTDATA}/sf0.01"
+    whole = offers(spark, folder).where(f"yr = {year} AND quartile = {quartile}")
+    assert rows_of(offers(spark, folder, (year, quartile))) == rows_of(whole)
+    assert whole.count() > 0
