@@ -1,7 +1,8 @@
 """Average passing grades of courses and offers, with the DataFrame API.
 
 All take offers (offer_id, course_id, yr, quartile) and registrations (offer_id, student_id,
-grade). Two plans give the same rows, and the measured size of the chosen offers decides:
+grade). The chosen offers are written out first, so that the offers are read once. Then two
+plans give the same rows, and the measured size of the chosen offers decides:
 
 * few offers: they are broadcast and the registrations are read once, without a shuffle of
   single registrations;
@@ -24,6 +25,7 @@ from gradeweave.functions.grades import (
 from gradeweave.operators.grouping import sum_count
 from gradeweave.operators.joins import semi_join
 from gradeweave.operators.sizes import BROADCAST_BYTES, fits_broadcast
+from gradeweave.sources.shared import written
 
 
 def passed(registrations: DataFrame) -> DataFrame:
@@ -44,7 +46,10 @@ def course_totals(
 
     A registration counts once per offer row it matches. No match gives no row.
     """
-    chosen = offers.where(given_in(course_id, year, quartile)).select("offer_id", "course_id")
+    chosen = written(
+        offers.where(given_in(course_id, year, quartile)).select("offer_id", "course_id"),
+        "chosen-offers",
+    )
     if fits_broadcast(chosen, limit):
         matched = passed(registrations).join(F.broadcast(chosen), "offer_id")
         return sum_count(matched, "course_id")
@@ -92,7 +97,9 @@ def average_of_only_offer(
     With none or several such offers there is no row. A registration counts once, also when
     its offer is listed repeatedly.
     """
-    chosen = offers.where(given_in(course_id, year, quartile)).select("offer_id")
+    chosen = written(
+        offers.where(given_in(course_id, year, quartile)).select("offer_id"), "chosen-offers"
+    )
     if fits_broadcast(chosen, limit):
         matched = passed(registrations).join(F.broadcast(chosen), "offer_id", "left_semi")
         per_offer = sum_count(matched, "offer_id")

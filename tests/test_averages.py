@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from compare import rows_of
 from conftest import OFFERS, OFFER_SCHEMA, REGISTRATION_SCHEMA
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gradeweave.functions.grades import average_float
@@ -195,3 +197,38 @@ def test_passed(registrations):
     assert rows_of(passed(registrations)) == [
         (1, 5), (1, 5), (1, 7), (2, 9), (4, 10), (99, 8)
     ]
+
+
+offer_rows = st.lists(
+    st.tuples(st.integers(1, 4), st.integers(1, 2), st.integers(2016, 2017), st.integers(1, 2)),
+    max_size=8,
+)
+registration_rows = st.lists(
+    st.tuples(st.integers(1, 5), st.integers(1, 3), st.none() | st.integers(1, 10)), max_size=20
+)
+
+
+@settings(
+    max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(offer_rows, registration_rows)
+def test_averages_against_loops(spark, offer_list, registration_list):
+    offers = spark.createDataFrame(offer_list, OFFER_SCHEMA)
+    registrations = spark.createDataFrame(registration_list, REGISTRATION_SCHEMA)
+    which = {"course_id": 1, "year": 2016, "quartile": 2}
+    chosen = [row[0] for row in offer_list if row[1:] == (1, 2016, 2)]
+    graded = [row for row in registration_list if row[2] is not None and row[2] >= 5]
+
+    grades = [row[2] for offer in chosen for row in graded if row[0] == offer]
+    totals = [(1, sum(grades), len(grades))] if grades else []
+    left = {row[0] for row in graded if row[0] in chosen}
+    own = [row[2] for row in graded if row[0] in left]
+    only = [(max(left), float(np.float32(sum(own)) / np.float32(len(own))))] if len(left) == 1 else []
+    mine = [row[2] for offer in offer_list for row in graded if row[0] == offer[0] and row[1] == 3]
+    average = [(sum(mine) / len(mine) if mine else None,)]
+
+    for limit in LIMITS:
+        assert rows_of(course_totals(offers, registrations, limit=limit, **which)) == totals
+        assert rows_of(average_of_only_offer(offers, registrations, limit=limit, **which)) == only
+        student = average_of_student(spark, offers, registrations, student_id=3, limit=limit)
+        assert rows_of(student) == average
