@@ -42,7 +42,7 @@ from gradeweave.plans.cdf import (
     cumulative_counts_reduced,
 )
 from gradeweave.plans.sqltext import average_by_offer, average_of_student
-from gradeweave.sources.schemas import table_schema
+from gradeweave.sources.schemas import PASSING_GRADES, table_schema
 from gradeweave.sources.shared import new_path
 from gradeweave.sources.standins import offers, point_rows, points, registrations
 from gradeweave.sources.tables import (
@@ -91,9 +91,7 @@ def _scan_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _written_registrations(spark: SparkSession, sf: str) -> str:
-    return write_table(
-        registrations(spark, sf), new_path(spark, "tables"), "CourseRegistrations"
-    )
+    return write_table(registrations(spark, sf), new_path(spark, "tables"), "CourseRegistrations")
 
 
 def _scan_header_as_null(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,17 +131,13 @@ def _avg_course(single_precision: bool) -> Query:
 
 def _avg_single_offer(which: dict[str, int]) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return average_of_only_offer(
-            offers(spark, sf), registrations(spark, sf), **which
-        )
+        return average_of_only_offer(offers(spark, sf), registrations(spark, sf), **which)
 
     return run
 
 
 def _avg_by_offer(spark: SparkSession, sf: str) -> DataFrame:
-    return average_by_offer(
-        spark, offers(spark, sf), registrations(spark, sf), **PERIOD
-    )
+    return average_by_offer(spark, offers(spark, sf), registrations(spark, sf), **PERIOD)
 
 
 def _avg_student(student_id: int) -> Query:
@@ -156,9 +150,7 @@ def _avg_student(student_id: int) -> Query:
 
 
 def _format_result(spark: SparkSession, sf: str) -> DataFrame:
-    totals = course_totals(
-        offers(spark, sf), registrations(spark, sf), **MULTI
-    )
+    totals = course_totals(offers(spark, sf), registrations(spark, sf), **MULTI)
     # Integers only: engines differ in how they print a float.
     message = F.concat(
         F.lit("CourseId = "),
@@ -188,13 +180,16 @@ def _tagged_union(spark: SparkSession, sf: str) -> DataFrame:
 # --- lists ----------------------------------------------------------------------------
 
 
+def _passed_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return grade_lists(passed(registrations(spark, sf)), "offer_id", domain=PASSING_GRADES)
+
+
 def _collect_grades(spark: SparkSession, sf: str) -> DataFrame:
-    lists = grade_lists(passed(registrations(spark, sf)), "offer_id")
-    return lists.select("offer_id", "part", list_text().alias("grades"))
+    return _passed_lists(spark, sf).select("offer_id", "part", list_text().alias("grades"))
 
 
 def _explode_grades(spark: SparkSession, sf: str) -> DataFrame:
-    return explode_lists(grade_lists(passed(registrations(spark, sf)), "offer_id"), "offer_id")
+    return explode_lists(_passed_lists(spark, sf), "offer_id")
 
 
 def queries() -> dict[str, Query]:
@@ -235,9 +230,7 @@ def queries() -> dict[str, Query]:
         "grade_cdf_grid": lambda spark, sf: cumulative_counts_on_grid(
             registrations(spark, sf), points(spark, sf)
         ),
-        "preview_rows": lambda spark, sf: preview(
-            registrations(spark, sf).where(graded())
-        ),
+        "preview_rows": lambda spark, sf: preview(registrations(spark, sf).where(graded())),
         "sample_rows": lambda spark, sf: sample_rows(registrations(spark, sf)),
         "format_result": _format_result,
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
@@ -31,7 +32,12 @@ def count_rows(df: DataFrame) -> DataFrame:
 
 
 def grade_lists(
-    df: DataFrame, key: str, value: str = "grade", length: int = LIST_LENGTH
+    df: DataFrame,
+    key: str,
+    value: str = "grade",
+    *,
+    domain: Sequence[int] = GRADES,
+    length: int = LIST_LENGTH,
 ) -> DataFrame:
     """key, part, grades: all grades of each key, ascending, as arrays.
 
@@ -40,20 +46,21 @@ def grade_lists(
     counter per grade and key, and the arrays are written out from the counters. The parts
     of a key with more than one are spread over the tasks before that.
 
-    A null or a value outside the domain fails the job.
+    ``domain`` lists the possible grades in ascending order; a null or another value fails
+    the job.
     """
-    outside = F.count_if(F.col(value).isNull() | ~F.col(value).isin(*GRADES))
-    tallies = [F.count_if(F.col(value) == grade).alias(f"n{grade}") for grade in GRADES]
+    outside = F.count_if(F.col(value).isNull() | ~F.col(value).isin(*domain))
+    tallies = [F.count_if(F.col(value) == grade).alias(f"n{grade}") for grade in domain]
     counted = df.groupBy(key).agg(*tallies, outside.alias("outside"))
     complaint = F.concat(F.lit(f"value is no grade, {key} "), F.col(key).cast("string"))
-    total = reduce(add, [F.col(f"n{grade}") for grade in GRADES])
+    total = reduce(add, [F.col(f"n{grade}") for grade in domain])
     counted = counted.withColumn(
         "total",
         F.when(F.col("outside") > 0, F.raise_error(complaint).cast("long")).otherwise(total),
     )
 
     short = counted.where(F.col("total") <= length)
-    whole = [F.array_repeat(F.lit(grade), F.col(f"n{grade}").cast("int")) for grade in GRADES]
+    whole = [F.array_repeat(F.lit(grade), F.col(f"n{grade}").cast("int")) for grade in domain]
     short_lists = short.select(
         key, F.lit(0).cast("long").alias("part"), F.concat(*whole).alias("grades")
     )
@@ -67,7 +74,7 @@ def grade_lists(
     low = F.col("part") * length
     pieces = []
     start: Column = F.lit(0).cast("long")
-    for grade in GRADES:
+    for grade in domain:
         end = start + F.col(f"n{grade}")
         shown = F.greatest(F.lit(0), F.least(end, low + length) - F.greatest(start, low))
         pieces.append(F.array_repeat(F.lit(grade), shown.cast("int")))

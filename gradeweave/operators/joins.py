@@ -83,14 +83,15 @@ def first_joined_row(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
     The join itself is never built. Its first row has the least key that both sides share,
     and within one key the join is a product, whose least row is the least left row next to
-    the least right row. So keys are joined, reduced to distinct ones first, and then each
-    side gives one row.
+    the least right row. So the keys of both sides are grouped to find the least shared one,
+    and then each side gives one row.
     """
-    shared = left.select(key).distinct().join(right.select(key).distinct(), key)
-    least = shared.agg(F.min(key).alias(key)).where(F.col(key).isNotNull())
+    sides = left.select(key, F.lit(1).alias("side")).union(right.select(key, F.lit(2)))
+    seen = sides.groupBy(key).agg(F.bit_or("side").alias("sides"))
+    least = seen.where(F.col("sides") == 3).agg(F.min(key).alias(key))
 
     def first_of(side: DataFrame) -> DataFrame:
-        # ``least`` is a global aggregate: one row at most.
+        # ``least`` is a global aggregate, so it has one row.
         rows = side.join(F.broadcast(least), key)
         order = [F.col(name).asc_nulls_first() for name in side.columns]
         return rows.orderBy(*order).limit(1)

@@ -128,6 +128,7 @@ TABLES: dict[str, Table] = {
 MISSING = "null"
 PASS_MARK = 5
 GRADES = range(1, 11)
+PASSING_GRADES = range(5, 11)
 
 _TEXT_KINDS = {"VARCHAR", "VARCHARLONG", "GENDER"}
 

@@ -83,6 +83,12 @@ def test_first_joined_row(spark, offers, registrations, skewed, many_offers):
     assert rows_of(first) == rows_of(plain.orderBy(*order).limit(1))
 
 
+def test_first_joined_row_ignores_null_keys_and_unshared_ones(spark):
+    left = spark.createDataFrame([(None, 1), (1, 5), (3, 8), (3, 7), (4, 0)], "k int, a int")
+    right = spark.createDataFrame([(None, 2), (2, 5), (3, 9), (3, None), (4, 0)], "k int, b int")
+    assert rows_of(first_joined_row(left, right, "k")) == [(3, 7, None)]
+
+
 def test_first_joined_row_of_an_empty_join(offers, registrations):
     assert rows_of(first_joined_row(offers, registrations.where("offer_id = 99"), "offer_id")) == []
     assert rows_of(first_joined_row(offers.limit(0), registrations, "offer_id")) == []
