@@ -58,16 +58,20 @@ def equi_join(
     Rows of ``hot`` keys (found by ``hot_keys`` unless given) are joined apart from the
     rest: by broadcasting the side that has few of them, or on a grid when both sides have
     many. The rest is an ordinary shuffle join.
+
+    ``left`` should be the side with few rows per key. It is put second below: a merge join
+    holds one key's rows of its second side in memory, and ``theta_join`` measures that side
+    first.
     """
+    columns = left.columns + [name for name in right.columns if name != key]
     if hot is None:
         hot = hot_keys(key, left, right)
     if not hot:
-        return left.join(right, key)
+        return right.join(left, key).select(columns)
     is_hot = F.col(key).isin(hot)
-    cold = left.where(~is_hot).join(right.where(~is_hot), key)
-    # ``left`` is usually the side with few rows per key, and the second side is measured first.
+    cold = right.where(~is_hot).join(left.where(~is_hot), key)
     spread = theta_join(right.where(is_hot), left.where(is_hot), on=[key], limit=limit)
-    return cold.unionByName(spread)
+    return cold.unionByName(spread).select(columns)
 
 
 def semi_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -79,8 +79,9 @@ def grid_join(
     also splits groups of equal rows, and the drawn places are checkpointed: a lost
     executor must not lead to a second draw after other cells have used the first.
 
-    The merge join is asked for because it spills; a hash join would have to hold a whole
-    cell in memory.
+    A merge join is asked for: without it the planner may broadcast a side by its file size,
+    and a hash join would hold a whole cell, while the sort spills. What a merge join does
+    hold is one cell's rows of ``right``, so that should be the smaller side.
     """
     placed_left = _place(left, _ROW, rows, left_key, seed)
     placed_right = _place(right, _COLUMN, cols, right_key, seed + 1)

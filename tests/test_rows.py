@@ -47,6 +47,17 @@ def test_parts_of_a_long_list_are_spread_over_tasks(spark):
     assert explode_lists(lists, "k").count() == 40_000
 
 
+def test_short_and_long_lists_share_one_shuffle(spark):
+    df = spark.range(1000).select(
+        (F.col("id") % 300).alias("k"), (F.col("id") % 10 + 1).cast("int").alias("grade")
+    )
+    lists = grade_lists(df, "k", length=3)
+    rows = lists.collect()
+    assert {len(row["grades"]) for row in rows} == {1, 3}
+    final = plan_of(lists).split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 1
+
+
 @pytest.mark.parametrize("value", [None, 0, 11])
 def test_lists_refuse_what_is_no_grade(spark, value):
     df = spark.createDataFrame([(1, 5), (2, value)], "k int, grade int")
