@@ -41,8 +41,14 @@ from gradeweave.plans.cdf import (
     cumulative_counts_on_grid,
     cumulative_counts_reduced,
 )
-from gradeweave.plans.sqltext import average_by_offer, average_of_student
-from gradeweave.sources.schemas import PASSING_GRADES, table_schema
+from gradeweave.plans.sqltext import (
+    BY_OFFER_IN_VIEW,
+    OF_STUDENT_IN_VIEW,
+    average_by_offer,
+    average_of_student,
+    register_joined,
+)
+from gradeweave.sources.schemas import PASS_MARK, PASSING_GRADES, table_schema
 from gradeweave.sources.shared import new_path
 from gradeweave.sources.standins import offers, point_rows, points, registrations
 from gradeweave.sources.tables import (
@@ -149,6 +155,14 @@ def _avg_student(student_id: int) -> Query:
     return run
 
 
+def _over_joined_view(text: str, **values: int) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        register_joined(offers(spark, sf), registrations(spark, sf), "co")
+        return spark.sql(text, args={**values, "pass_mark": PASS_MARK})
+
+    return run
+
+
 def _format_result(spark: SparkSession, sf: str) -> DataFrame:
     totals = course_totals(offers(spark, sf), registrations(spark, sf), **MULTI)
     # Integers only: engines differ in how they print a float.
@@ -209,6 +223,8 @@ def queries() -> dict[str, Query]:
         "avg_by_offer": _avg_by_offer,
         "avg_student": _avg_student(STUDENT),
         "avg_student_empty": _avg_student(NO_STUDENT),
+        "joined_view_by_offer": _over_joined_view(BY_OFFER_IN_VIEW, **PERIOD),
+        "joined_view_student": _over_joined_view(OF_STUDENT_IN_VIEW, student=STUDENT),
         "passed": lambda spark, sf: passed(registrations(spark, sf)),
         "project_cols": lambda spark, sf: keep_columns(registrations(spark, sf), {2, 0}),
         "avg_course_double": _avg_course(False),
@@ -283,6 +299,14 @@ def _cumulative(points_sql: str) -> str:
       SELECT q, count(*) AS n FROM {_REGISTRATIONS} JOIN {points_sql} ON grade <= q GROUP BY q"""
 
 
+def _averages_by_offer() -> str:
+    return f"""
+      SELECT r.offer_id, avg(grade) AS average_grade
+      FROM {_OFFERS} o JOIN {_REGISTRATIONS} r ON o.offer_id = r.offer_id
+      WHERE yr = {PERIOD['year']} AND quartile = {PERIOD['quartile']} AND grade >= 5
+      GROUP BY r.offer_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for every query but ``sample_rows``, whose rows are random."""
     student_list = ", ".join(f"({s})" for s in STUDENTS)
@@ -307,11 +331,9 @@ def oracle_sql() -> dict[str, str]:
           FROM {_OFFERS} o JOIN {_REGISTRATIONS} r ON o.offer_id = r.offer_id
           ORDER BY o.offer_id, course_id, yr, quartile, student_id, grade NULLS FIRST
           LIMIT 1""",
-        "avg_by_offer": f"""
-          SELECT r.offer_id, avg(grade) AS average_grade
-          FROM {_OFFERS} o JOIN {_REGISTRATIONS} r ON o.offer_id = r.offer_id
-          WHERE yr = {PERIOD['year']} AND quartile = {PERIOD['quartile']} AND grade >= 5
-          GROUP BY r.offer_id""",
+        "avg_by_offer": _averages_by_offer(),
+        "joined_view_by_offer": _averages_by_offer(),
+        "joined_view_student": _student_average(STUDENT),
         "avg_student": _student_average(STUDENT),
         "avg_student_empty": _student_average(NO_STUDENT),
         "passed": f"SELECT * FROM {_PASSED}",

@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeweave.operators.joins import equi_join
 from gradeweave.operators.sizes import BROADCAST_BYTES, fits_broadcast
 from gradeweave.sources.schemas import PASS_MARK
 from gradeweave.sources.shared import written
 
+# Over the view of ``register_joined``.
+BY_OFFER_IN_VIEW = """
+SELECT offer_id, AVG(grade) AS average_grade
+FROM co
+WHERE yr = :year AND quartile = :quartile AND grade >= :pass_mark
+GROUP BY offer_id
+"""
+
+OF_STUDENT_IN_VIEW = """
+SELECT AVG(grade) AS average_grade FROM co WHERE student_id = :student AND grade >= :pass_mark
+"""
+
 # Offers are filtered and registrations summed per offer before they meet, so neither an
 # offer with very many registrations nor one listed repeatedly weighs on the join.
 BY_OFFER = """
@@ -41,10 +54,11 @@ def register_joined(offers: DataFrame, registrations: DataFrame, view: str = "co
     """Register offers joined with registrations as a view for the caller's own SQL.
 
     The key keeps both names: ``listed_id`` from the offers, ``offer_id`` from the
-    registrations.
+    registrations. Filters in the SQL reach both tables.
     """
-    listed = offers.withColumnRenamed("offer_id", "listed_id")
-    joined = listed.join(registrations, listed.listed_id == registrations.offer_id)
+    joined = equi_join(offers, registrations, "offer_id").withColumn(
+        "listed_id", F.col("offer_id")
+    )
     joined.createOrReplaceTempView(view)
     return joined
 

@@ -158,7 +158,8 @@ def test_average_of_student_weighs_repeated_offers(spark, registrations, limit):
 
 
 def test_own_sql_over_the_registered_join(spark, offers, registrations):
-    assert register_joined(offers, registrations).count() == 7
+    joined = register_joined(offers, registrations)
+    assert joined.count() == joined.where("listed_id = offer_id").count() == 7
     by_offer = spark.sql(
         "SELECT offer_id, AVG(grade) AS average_grade FROM co "
         "WHERE yr = 2016 AND quartile = 2 AND grade >= 5 GROUP BY offer_id"
