@@ -74,12 +74,23 @@ def equi_join(
     return cold.unionByName(spread).select(columns)
 
 
-def semi_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """The rows of ``left`` whose key occurs in ``right``, each once."""
+def semi_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    *,
+    hot: list | None = None,
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """The rows of ``left`` whose key occurs in ``right``, each once.
+
+    When the keys of ``right`` are too large to broadcast, they are made distinct; an inner
+    join with them then finds each row once, and treats hot keys of ``left`` apart.
+    """
     keys = right.select(key)
-    if fits_broadcast(keys):
+    if fits_broadcast(keys, limit):
         return left.join(F.broadcast(keys), key, "left_semi")
-    return left.join(keys.distinct(), key, "left_semi")
+    return equi_join(keys.distinct(), left, key, hot=hot, limit=limit).select(left.columns)
 
 
 def first_joined_row(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

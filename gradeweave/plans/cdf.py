@@ -41,7 +41,12 @@ def cumulative_counts_reduced(registrations: DataFrame, points: DataFrame) -> Da
 
 
 def cumulative_counts_on_grid(
-    registrations: DataFrame, points: DataFrame, *, rows: int = GRID, cols: int = GRID, seed: int = 0
+    registrations: DataFrame,
+    points: DataFrame,
+    *,
+    rows: int = GRID,
+    cols: int = GRID,
+    seed: int = 0,
 ) -> DataFrame:
     """q, n with the theta-join on a grid of cells."""
     times = points.groupBy("q").agg(F.count("*").alias("times"))

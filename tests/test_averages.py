@@ -224,8 +224,11 @@ def test_averages_against_loops(spark, offer_list, registration_list):
     totals = [(1, sum(grades), len(grades))] if grades else []
     left = {row[0] for row in graded if row[0] in chosen}
     own = [row[2] for row in graded if row[0] in left]
-    only = [(max(left), float(np.float32(sum(own)) / np.float32(len(own))))] if len(left) == 1 else []
-    mine = [row[2] for offer in offer_list for row in graded if row[0] == offer[0] and row[1] == 3]
+    only = []
+    if len(left) == 1:
+        only = [(max(left), float(np.float32(sum(own)) / np.float32(len(own))))]
+    of_student = [row for row in graded if row[1] == 3]
+    mine = [row[2] for offer in offer_list for row in of_student if row[0] == offer[0]]
     average = [(sum(mine) / len(mine) if mine else None,)]
 
     for limit in LIMITS:

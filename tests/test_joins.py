@@ -65,10 +65,16 @@ def test_hot_keys_do_not_change_the_join(skewed, many_offers, limit, hot):
     assert rows_of(split) == rows_of(plain)
 
 
-def test_semi_join_counts_a_row_once(spark, registrations):
-    offers = spark.createDataFrame([OFFERS[0], *OFFERS], OFFER_SCHEMA)
+@pytest.mark.parametrize("limit", [1 << 20, 0], ids=["broadcast", "shuffle"])
+@pytest.mark.parametrize("hot", [None, [1]])
+def test_semi_join_counts_a_row_once(spark, registrations, limit, hot):
+    offers = spark.createDataFrame([OFFERS[0], *OFFERS, (None, 1, 1, 1)], OFFER_SCHEMA)
+    rows = registrations.union(spark.createDataFrame([(None, 1, 1)], registrations.schema))
+    rows = rows.select("grade", "offer_id", "student_id")
+    found = semi_join(rows, offers, "offer_id", hot=hot, limit=limit)
+    assert found.columns == rows.columns
     expected = [row for row in REGISTRATIONS if row[0] in {1, 2, 3, 4}]
-    assert rows_of(semi_join(registrations, offers, "offer_id")) == joined(
+    assert rows_of(found.select("offer_id", "student_id", "grade")) == joined(
         [(row[0],) for row in OFFERS], expected
     )
 
@@ -159,7 +165,9 @@ def test_theta_join_broadcasts_only_a_measured_small_side(spark):
     assert "BroadcastNestedLoopJoin BuildRight" in right
     left = plan_of(theta_join(small_side, large_side, condition, limit=1000))
     assert "BroadcastNestedLoopJoin BuildLeft" in left
-    grid = plan_of(theta_join(large_side, small_side, condition, limit=1, left_key=["x"], right_key=["y"]))
+    grid = plan_of(
+        theta_join(large_side, small_side, condition, limit=1, left_key=["x"], right_key=["y"])
+    )
     assert "SortMergeJoin [_grid_row" in grid and "Broadcast" not in grid
 
 
@@ -174,5 +182,5 @@ def test_placement_is_balanced_and_stable(spark):
         counts = ids.select(cell.alias("c")).groupBy("c").count().collect()
         assert {row["c"] for row in counts} == set(range(6))
         assert all(850 < row["count"] < 1150 for row in counts)
-    cells = ids.select("id", hashed_cell(6, ["id"], 1).alias("c"))
-    assert rows_of(cells) == rows_of(ids.repartition(7).select("id", hashed_cell(6, ["id"], 1).alias("c")))
+    cell = hashed_cell(6, ["id"], 1).alias("c")
+    assert rows_of(ids.select("id", cell)) == rows_of(ids.repartition(7).select("id", cell))

@@ -42,7 +42,8 @@ def test_parts_of_a_long_list_are_spread_over_tasks(spark):
         F.expr("id div 40000").alias("k"), (F.col("id") % 10 + 1).cast("int").alias("grade")
     )
     lists = grade_lists(df, "k", length=1000)
-    assert re.search(r"hashpartitioning\(k#\d+L, part#\d+L, \d+\), REPARTITION_BY_COL", plan_of(lists))
+    spread = r"hashpartitioning\(k#\d+L, part#\d+L, \d+\), REPARTITION_BY_COL"
+    assert re.search(spread, plan_of(lists))
     assert lists.count() == 40
     assert explode_lists(lists, "k").count() == 40_000
 
