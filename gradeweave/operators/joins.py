@@ -89,7 +89,7 @@ def semi_join(
     """
     keys = right.select(key)
     if fits_broadcast(keys, limit):
-        return left.join(F.broadcast(keys), key, "left_semi")
+        return left.join(F.broadcast(keys), key, "left_semi").select(left.columns)
     return equi_join(keys.distinct(), left, key, hot=hot, limit=limit).select(left.columns)
 
 
