@@ -65,6 +65,15 @@ from gradeweave.sources.tables import (
     write_table,
 )
 
+# The corpus operators and the pipeline over them; everything else works without them.
+try:
+    import corpus_pipeline
+    from gradeweave.llm import queries as corpus
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("corpus_pipeline", "gradeweave.llm")):
+        raise
+    corpus = corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # A course with several offers in the period, and one with a single offer.
@@ -249,9 +258,23 @@ def queries() -> dict[str, Query]:
         "preview_rows": lambda spark, sf: preview(registrations(spark, sf).where(graded())),
         "sample_rows": lambda spark, sf: sample_rows(registrations(spark, sf)),
         "format_result": _format_result,
+        **_of_corpus(),
     }
 
 
+def _of_corpus() -> dict[str, Query]:
+    if corpus is None:
+        return {}
+    return {**corpus.QUERIES, "pipeline": corpus_pipeline.run}
+
+
+def _sql_of_corpus() -> dict[str, str]:
+    if corpus is None:
+        return {}
+    whole = corpus_pipeline.ORACLE_SQL
+    return {**corpus.ORACLE_SQL, **({"pipeline": whole} if whole else {})}
+
+
 # --- the same in SQL ------------------------------------------------------------------
 
 _OFFERS = """(SELECT o_orderkey AS offer_id, o_custkey AS course_id,
@@ -378,4 +401,5 @@ def oracle_sql() -> dict[str, str]:
             || CAST(sum(grade) AS VARCHAR) || ', count = ' || CAST(count(*) AS VARCHAR)
             || ', and all grades >= 5' AS msg
           {_course_rows(MULTI)} GROUP BY course_id""",
+        **_sql_of_corpus(),
     }
