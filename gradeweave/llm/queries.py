@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeweave.llm.curriculum import curriculum
+from gradeweave.llm.fingerprints import edited_fingerprints
 from gradeweave.llm.packing import pack
 from gradeweave.llm.simple8b import read_ids, write_ids
+from gradeweave.llm.warc import read_records, write_archive
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +23,19 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, folder))
+
+
+def curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return curriculum(documents(spark, folder)).drop("positions")
+
+
+def warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    index = write_archive(spark.read.parquet(f"{folder}/pages.parquet"))
+    return read_records(index).drop("payload")
+
+
 def vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(documents(spark, folder), tokenizer_path())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -31,6 +47,9 @@ def simple8b(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_merkle_fingerprints": merkle_fingerprints,
+    "op4_curriculum_mix": curriculum_mix,
+    "op6_warc_index": warc_index,
     "op8_vector_packing": vector_packing,
     "op9_simple8b": simple8b,
 }
