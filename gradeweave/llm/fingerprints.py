@@ -76,22 +76,22 @@ def root(print_: Column) -> Column:
 
 def sections(print_: Column) -> Column:
     """hash and paragraphs (array of hash and blocks) of each section."""
-    parts = F.slice(F.split(print_, r"\|"), 2, 2147483647)
+    def after_first(nodes: Column) -> Column:
+        return F.slice(nodes, 2, F.size(nodes))
+
 
     def paragraph(part: Column) -> Column:
         nodes = F.split(part, r"\.")
-        return F.struct(
-            nodes[0].alias("hash"), F.slice(nodes, 2, 2147483647).alias("blocks")
-        )
+        return F.struct(nodes[0].alias("hash"), after_first(nodes).alias("blocks"))
 
     def section(part: Column) -> Column:
         nodes = F.split(part, "/")
         return F.struct(
             nodes[0].alias("hash"),
-            F.transform(F.slice(nodes, 2, 2147483647), paragraph).alias("paragraphs"),
+            F.transform(after_first(nodes), paragraph).alias("paragraphs"),
         )
 
-    return F.transform(parts, section)
+    return F.transform(after_first(F.split(print_, r"\|")), section)
 
 
 def edited_paragraphs(old: Column, new: Column) -> Column:

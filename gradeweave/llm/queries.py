@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeweave.llm import disclosure, language, quality, toxicity
 from gradeweave.llm.curriculum import curriculum
 from gradeweave.llm.fingerprints import edited_fingerprints
 from gradeweave.llm.packing import pack
@@ -23,14 +24,45 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
 def merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edited_fingerprints(documents(spark, folder))
 
 
+def line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return quality.assess(docs, quality.fit(docs, labels(spark, folder)))
+
+
+def ecoc_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    named = language.identify(docs, language.fit(docs))
+    return named.withColumn("held_out", language.held_out())
+
+
 def curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     return curriculum(documents(spark, folder)).drop("positions")
 
 
+def fm_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    rated = toxicity.rate(docs, toxicity.fit(docs, labels(spark, folder)))
+    return rated.withColumn("held_out", toxicity.held_out())
+
+
+def disclosure_pii(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = list(disclosure.PATTERNS)
+    return disclosure.protected(documents(spark, folder)).select(
+        "doc_id",
+        *[F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in kinds],
+        F.sha2(disclosure.listed(*kinds).cast("binary"), 256).alias("base_sha256"),
+        disclosure.listed(*kinds, "term").alias("spans"),
+    )
+
+
 def warc_index(spark: SparkSession, folder: str) -> DataFrame:
     index = write_archive(spark.read.parquet(f"{folder}/pages.parquet"))
     return read_records(index).drop("payload")
@@ -48,8 +80,12 @@ def simple8b(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_merkle_fingerprints": merkle_fingerprints,
+    "op2_line_crf": line_crf,
+    "op3_ecoc_language": ecoc_language,
     "op4_curriculum_mix": curriculum_mix,
+    "op5_fm_toxicity": fm_toxicity,
     "op6_warc_index": warc_index,
+    "op7_disclosure_pii": disclosure_pii,
     "op8_vector_packing": vector_packing,
     "op9_simple8b": simple8b,
 }
