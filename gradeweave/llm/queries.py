@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gradeweave.llm import disclosure, language, quality, toxicity
 from gradeweave.llm.curriculum import curriculum
 from gradeweave.llm.fingerprints import edited_fingerprints
+from gradeweave.llm.jaccard import jaccard_groups
 from gradeweave.llm.packing import pack
 from gradeweave.llm.simple8b import read_ids, write_ids
 from gradeweave.llm.warc import read_records, write_archive
@@ -78,6 +79,10 @@ def simple8b(spark: SparkSession, folder: str) -> DataFrame:
     return read_ids(files).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def group_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_groups(documents(spark, folder), k=4, percent=85)
+
+
 QUERIES = {
     "op1_merkle_fingerprints": merkle_fingerprints,
     "op2_line_crf": line_crf,
@@ -88,6 +93,7 @@ QUERIES = {
     "op7_disclosure_pii": disclosure_pii,
     "op8_vector_packing": vector_packing,
     "op9_simple8b": simple8b,
+    "op10_group_jaccard": group_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
