@@ -70,9 +70,9 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
 
     parts = docs.select("text").mapInArrow(count, "counter int, n bigint")
     # As many rows as there are counters, however large the table.
-    rows = parts.groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    rows = parts.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    counts[rows["counter"]] = rows["n"]
+    counts[rows["counter"].to_numpy()] = rows["n"].to_numpy()
     return np.minimum(counts, 2**32 - 1).astype(np.uint32)
 
 
