@@ -185,7 +185,10 @@ def edited_fingerprints(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     its last third is cut off and near_next is null. An empty table gives no rows; other
     columns are not looked at.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Both joins below need the texts dealt out by id. As they read them alike, without null
+    # ids, they share one shuffle.
+    rows = every.where(F.col("doc_id").isNotNull())
     third = F.floor(F.char_length("text") / 3).cast("int")
     wanted = next_ids(rows, ranges).select(F.col("doc_id").alias("for_id"), "next_id")
     needs = rows.groupBy("doc_id").agg(F.max(third).alias("need"))
@@ -208,9 +211,13 @@ def edited_fingerprints(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
         F.substr("text", F.lit(1), length - third),
         F.coalesce(F.substr(F.col("lent.head"), F.lit(1), third), F.lit("")),
     )
+    nothing = F.lit(None).cast("struct<head:string,next_fingerprint:string>").alias("lent")
+    placed = rows.join(lent, F.col("doc_id") == F.col("for_id"), "left").select(
+        "doc_id", "text", "lent"
+    )
+    placed = placed.union(every.where(F.col("doc_id").isNull()).select("doc_id", "text", nothing))
     return (
-        rows.join(lent, F.col("doc_id") == F.col("for_id"), "left")
-        .select(
+        placed.select(
             "doc_id",
             length.cast("bigint").alias("n_chars"),
             bound(
