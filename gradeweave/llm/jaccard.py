@@ -146,8 +146,18 @@ def whole_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
     return written(sets.dropDuplicates(["name"]), "sets")
 
 
+def _ceil_div(a: Column, b: int) -> Column:
+    up = a + (b - 1)
+    return ((up - F.pmod(up, F.lit(b))) / b).cast("bigint")
+
+
 def _needed(n: Column, percent: int) -> Column:
-    return F.ceil(n * percent / 100)
+    return _ceil_div(n * percent, 100)
+
+
+def least_overlap(n: Column, m: Column, percent: int) -> Column:
+    """Tokens that sets of sizes n and m that link have in common, at least."""
+    return _ceil_div((n + m) * percent, 100 + percent)
 
 
 def least_shared(n: Column, m: Column, percent: int) -> Column:
@@ -157,8 +167,8 @@ def least_shared(n: Column, m: Column, percent: int) -> Column:
     not in the other set at all. So their overlap is at most the common prefix tokens and
     the rest of that set behind its prefix.
     """
-    overlap = F.ceil((n + m) * percent / (100 + percent))
-    return overlap - F.greatest(_needed(n, percent), _needed(m, percent)) + 1
+    rest = F.greatest(_needed(n, percent), _needed(m, percent)) - 1
+    return least_overlap(n, m, percent) - rest
 
 
 def near_sizes(n: Column, m: Column, percent: int) -> Column:
@@ -218,10 +228,12 @@ def opened(candidates: DataFrame, members: DataFrame, sets: DataFrame, percent:
                     found += [(name, m) for m, tokens in inside if links(query, tokens, percent)]
             yield _link_batch(found)
 
-    groups = (
+    # Written, so that a part with very many queries can be split when they meet it.
+    groups = written(
         members.join(sets, "name")
         .groupBy("group", "part")
-        .agg(F.collect_list(F.struct("name", "tokens")).alias("members"))
+        .agg(F.collect_list(F.struct("name", "tokens")).alias("members")),
+        "groups",
     )
     return (
         candidates.join(sets, "name")
@@ -272,10 +284,11 @@ def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
 def query_groups(entries: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """name, group, part: the parts of other groups that a set must be held against.
 
-    The matrix has, for each token, the parts whose members' prefixes have it. Of two groups,
-    the sets of one are the queries. What a query shares with a part's prefixes is no less
-    than with any member's, and the least that is needed of any size in the part is that of
-    the size nearest to either end of what may link with the query.
+    The matrix has, for each token, the parts whose members' prefixes have it, the range of
+    their sizes and how much of a member is left from the token on. Of two groups, the sets of
+    one are the queries. A pair that links has a first common token; what is left of both
+    sets from there on is at least their overlap. So only matrix cells with enough left,
+    for the smallest size that may link, can show a pair for the first time.
     """
     placed = placed.withColumnRenamed("name", "placed")
     rows = entries.join(placed, F.col("name") == F.col("placed")).drop("placed")
@@ -285,24 +298,25 @@ def query_groups(entries: DataFrame, placed: DataFrame, percent: int) -> DataFra
         .where(F.col("least") < F.col("most"))
         .select("token")
     )
-    rows = written(rows.join(between, "token"), "between")
-    sizes = rows.groupBy("group", "part").agg(
-        F.min("n").alias("smallest"), F.max("n").alias("largest")
+    rows = written(
+        rows.join(between, "token").withColumn("left", F.col("n") - F.col("at")), "between"
+    )
+    matrix = rows.groupBy("token", "group", "part").agg(
+        F.min("n").alias("smallest"), F.max("n").alias("largest"), F.max("left").alias("most_left")
     )
-    matrix = rows.select("token", "group", "part").distinct().join(sizes, ["group", "part"])
     n = F.col("n")
-    low = F.greatest("smallest", F.ceil(n * percent / 100))
-    high = F.least("largest", F.floor(n * 100 / percent))
-    needed_ = F.least(least_shared(n, low, percent), least_shared(n, high, percent))
+    low = F.greatest("smallest", _needed(n, percent))
     return (
-        rows.select("token", "name", "n", F.col("group").alias("own"))
+        rows.select("token", "name", "n", "left", F.col("group").alias("own"))
         .join(matrix, "token")
-        .where((F.col("own") > F.col("group")) & (low <= high))
-        .groupBy("name", "n", "group", "part", "smallest", "largest")
-        .agg(F.count("*").alias("shared"))
-        # A bound of two neighbouring sizes may differ by one in rounding.
-        .where(F.col("shared") >= needed_ - 1)
+        .where(
+            (F.col("own") > F.col("group"))
+            & (low <= F.col("largest"))
+            & (low * percent <= n * 100)
+            & (F.least("left", "most_left") >= least_overlap(n, low, percent))
+        )
         .select("name", "group", "part")
+        .distinct()
     )
 
 
@@ -322,7 +336,7 @@ def jaccard_groups(
         raise ValueError("k must be at least 1, percent from 1 to 100")
     marked = written(signed(docs, k, percent, sketch(docs, k)), "signed")
     kept = marked.where(F.col("name").isNotNull())
-    every = kept.select("name", "n", F.explode("prefix").alias("token"))
+    every = kept.select("name", "n", F.posexplode("prefix").alias("at", "token"))
     shared = written(
         every.groupBy("token")
         .agg(F.min("name").alias("least"), F.max("name").alias("most"))
