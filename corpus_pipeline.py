@@ -1,4 +1,9 @@
-"""A corpus pipeline over the documents table, stage by stage."""
+"""A corpus pipeline over the documents table.
+
+Documents of poor quality go; of each group of near copies one stays; personal data is taken
+out; sources are mixed to their targets, in training order; the result is packed into
+sequences. Each stage reads what the stage before has written.
+"""
 
 from __future__ import annotations
 
@@ -6,25 +11,60 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeweave.llm import queries
+from gradeweave.llm import quality, queries
+from gradeweave.llm.curriculum import planned, repeated
+from gradeweave.llm.disclosure import cleaned
+from gradeweave.llm.jaccard import one_of_each
 from gradeweave.llm.packing import pack
 from gradeweave.sources.shared import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Near copies: shingles of so many words, and the least similarity in percent.
+WORDS = 5
+SIMILAR = 80
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line CRF keeps; it learns from the labels of the table."""
+    model = quality.fit(docs, queries.labels(spark, sf_dir))
+    return quality.retained(docs, model)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near copies."""
+    return one_of_each(docs, k=WORDS, percent=SIMILAR)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without personal data and the terms that disclose it."""
+    return cleaned(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in training order."""
+    return repeated(docs, planned(docs)).drop("position")
+
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids, in sequences."""
     return pack(docs, queries.tokenizer_path())
 
 
-STAGES: list[tuple[str, Stage]] = [("pack", packed)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", good),
+    ("near-copies", distinct),
+    ("personal-data", private),
+    ("mix", mixed),
+    ("pack", packed),
+]
 
-# The quality stage decodes a trained model, which SQL does not express.
+# The quality stage decodes a trained model and the last one tokenizes: SQL has neither.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn, each written and read again."""
+    """Every stage in turn, each written and read again but the last."""
     docs = queries.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)

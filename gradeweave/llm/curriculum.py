@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeweave.llm.text import word_count
+from gradeweave.operators.sizes import BROADCAST_BYTES, fits_broadcast
 from gradeweave.sources.shared import written
 
 # Slices of a source's order: 16 ** DIGITS.
@@ -194,20 +195,31 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
     """Documents in training order: ``scheduled`` for a table with doc_id, text and source,
     range-sorted by first position; documents that are never taken come last. Other columns
     are not looked at; an empty table gives no rows."""
+    return planned(docs, **options).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
+def planned(docs: DataFrame, **options) -> DataFrame:
+    """``scheduled``, in no order."""
     sizes = written(sized(docs), "sizes")
-    return scheduled(sizes, targets(sizes, **options)).orderBy(
-        F.col("first_position").asc_nulls_last(), "doc_id"
-    )
+    return scheduled(sizes, targets(sizes, **options))
 
 
-def repeated(docs: DataFrame, plan: DataFrame) -> DataFrame:
+def repeated(
+    docs: DataFrame, plan: DataFrame, *, limit: int = BROADCAST_BYTES
+) -> DataFrame:
     """The training stream: each document as often as it is taken, in order of position.
 
-    ``docs`` has one row per doc_id; its columns are kept, ``position`` is added.
+    ``docs`` has one row per doc_id, of which one may be null; its columns are kept, and
+    ``position`` is added.
     """
-    times = plan.select(F.col("doc_id").alias("planned_id"), F.explode("positions").alias("position"))
+    times = plan.select(
+        F.col("doc_id").alias("planned_id"), F.explode("positions").alias("position")
+    )
+    times = written(times, "times")
+    if fits_broadcast(times, limit):
+        times = F.broadcast(times)
     return (
-        docs.join(times, F.col("doc_id") == F.col("planned_id"))
+        docs.join(times, F.col("doc_id").eqNullSafe(F.col("planned_id")))
         .drop("planned_id")
         .orderBy("position", "doc_id")
     )

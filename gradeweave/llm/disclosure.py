@@ -9,6 +9,8 @@ generalised, or removed if they all but name it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,9 +121,9 @@ def terms_in(text: Column) -> Column:
     return F.filter(F.array_distinct(every), lambda t: F.char_length(t) >= SHORTEST)
 
 
-def found_base(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` (doc_id, text; null text as empty) and one of spans per kind."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def found_base(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text (null as empty), the columns to keep, and one of spans per kind."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
     return rows.select("*", *[base_spans(F.col("text"), kind).alias(kind) for kind in PATTERNS])
 
 
@@ -225,14 +227,20 @@ def disclosing_terms(
     )
 
 
-def protected(docs: DataFrame, *, limit: int = BROADCAST_BYTES, **thresholds: float) -> DataFrame:
+def protected(
+    docs: DataFrame,
+    *,
+    keep: Sequence[str] = (),
+    limit: int = BROADCAST_BYTES,
+    **thresholds: float,
+) -> DataFrame:
     """doc_id, text and the spans of each kind, the added kind ``term`` too, of each row.
 
     A span has start, end, value and, for terms, the label that replaces it. Terms that touch
     a base span are left to it. A null text is empty; rows that repeat an id are rows of
-    their own; an empty table gives none. Other columns are not looked at.
+    their own; an empty table gives none. Of other columns only those to ``keep`` are there.
     """
-    found = found_base(docs)
+    found = found_base(docs, keep)
     marked = written(disclosing_terms(found, limit=limit, **thresholds), "marked")
     marked = marked.withColumnRenamed("doc_id", "marked_id")
     if fits_broadcast(marked, limit):
@@ -265,8 +273,9 @@ def protected(docs: DataFrame, *, limit: int = BROADCAST_BYTES, **thresholds: fl
 
     terms = F.transform(F.filter(matches(F.col("text"), pattern), apart), labelled)
     return rows.select(
-        "doc_id", "text", *PATTERNS, F.when(F.col("terms").isNotNull(), terms).otherwise(none).alias("term")
-    )
+        "doc_id", "text", *keep, *PATTERNS,
+        F.when(F.col("terms").isNotNull(), terms).otherwise(none).alias("term"),
+    )
 
 
 def listed(*kinds: str) -> Column:
@@ -312,12 +321,9 @@ def sanitised() -> Column:
 
 
 def cleaned(docs: DataFrame, **options: float) -> DataFrame:
-    """``docs`` with sanitised texts: doc_id, text, lang, source, n_chars.
-
-    A null text becomes an empty one. The ids must be different from each other.
-    """
-    texts = protected(docs, **options).select(F.col("doc_id").alias("of_id"), sanitised().alias("text"))
-    others = docs.select("doc_id", "lang", "source")
-    return others.join(texts, F.col("doc_id").eqNullSafe(F.col("of_id"))).select(
+    """``docs`` with sanitised texts: doc_id, text, lang, source, n_chars. A null text becomes
+    an empty one."""
+    rows = protected(docs, keep=("lang", "source"), **options)
+    return rows.withColumn("text", sanitised()).select(
         "doc_id", "text", "lang", "source", F.char_length("text").cast("bigint").alias("n_chars")
     )

@@ -375,3 +375,16 @@ def jaccard_groups(
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, *, k: int, percent: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of its
+    component. A document is known by its id: rows that repeat a kept id stay."""
+    groups = written(jaccard_groups(docs, k=k, percent=percent, limit=limit), "groups")
+    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("dropped_id")
+    )
+    dropped = written(dropped.distinct(), "dropped")
+    return docs.join(
+        few_or_many(dropped, limit), F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti"
+    )
