@@ -306,7 +306,7 @@ def query_groups(entries: DataFrame, placed: DataFrame, percent: int) -> DataFra
     )
     n = F.col("n")
     low = F.greatest("smallest", _needed(n, percent))
-    return (
+    found = (
         rows.select("token", "name", "n", "left", F.col("group").alias("own"))
         .join(matrix, "token")
         .where(
@@ -318,6 +318,23 @@ def query_groups(entries: DataFrame, placed: DataFrame, percent: int) -> DataFra
         .select("name", "group", "part")
         .distinct()
     )
+    found = written(found, "found")
+    of_query = rows.groupBy("name", "n").agg(F.collect_set("token").alias("asked"))
+    of_part = rows.groupBy("group", "part").agg(
+        F.collect_set("token").alias("held"),
+        F.min("n").alias("smallest"),
+        F.max("n").alias("largest"),
+    )
+    high = F.least("largest", F.floor(n * 100 / percent))
+    # The least that is needed of any size in the part is that of one of the ends of what may
+    # link; between two neighbouring sizes rounding may take one off.
+    enough = F.least(least_shared(n, low, percent), least_shared(n, high, percent)) - 1
+    return (
+        found.join(of_query, "name")
+        .join(of_part, ["group", "part"])
+        .where(F.size(F.array_intersect("asked", "held")) >= enough)
+        .select("name", "group", "part")
+    )
 
 
 def jaccard_groups(
