@@ -1,7 +1,7 @@
-"""Run one query over a folder of table files and print its rows.
+"""Run one query over a folder of table files; print its rows, or write them.
 
     python -m gradeweave FOLDER average-of-course --course 1127 --year 2007 --quartile 3
-    spark-submit ... gradeweave/__main__.py FOLDER cumulative-counts
+    spark-submit ... gradeweave/__main__.py --output RESULT FOLDER cumulative-counts
 """
 
 from __future__ import annotations
@@ -33,11 +33,8 @@ def _parser() -> argparse.ArgumentParser:
         help="which table holds the registrations",
     )
     parser.add_argument("--wide-keys", action="store_true", help="ids may exceed 32 bits")
-    parser.add_argument(
-        "--single-header",
-        action="store_true",
-        help="only the first file of a table has a header, or header lines repeat",
-    )
+    parser.add_argument("--output", help="write all rows as Parquet to this new folder")
+    parser.add_argument("--preview", type=int, help="print so many rows at most")
     queries = parser.add_subparsers(dest="query", required=True)
     queries.add_parser("first-row", help="first row of offers joined with registrations")
     by_offer = queries.add_parser("average-by-offer", help="average passing grade per offer")
@@ -61,13 +58,8 @@ def run(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
     """The rows of the chosen query."""
 
     def table(name: str) -> DataFrame:
-        return read_table(
-            spark,
-            options.folder,
-            name,
-            key_type=LongType() if options.wide_keys else None,
-            single_header=options.single_header,
-        )
+        key_type = LongType() if options.wide_keys else None
+        return read_table(spark, options.folder, name, key_type=key_type)
 
     registrations = table(options.registrations)
     if options.query == "cumulative-counts":
@@ -98,7 +90,18 @@ def run(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
 def main(arguments: Sequence[str] | None = None) -> None:
     options = _parser().parse_args(arguments)
     spark = SparkSession.builder.appName("gradeweave").getOrCreate()
-    run(spark, options).show(truncate=False)
+    rows = run(spark, options)
+    if options.output:
+        rows.write.parquet(options.output)
+    else:
+        print_rows(rows if options.preview is None else rows.limit(options.preview))
+
+
+def print_rows(rows: DataFrame) -> None:
+    """Every row, one line each; they come to the driver one partition at a time."""
+    print(f"|{' |'.join(rows.columns)} |")
+    for row in rows.toLocalIterator():
+        print(f"|{' |'.join('NULL' if cell is None else str(cell) for cell in row)} |")
 
 
 if __name__ == "__main__":

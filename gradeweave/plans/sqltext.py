@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeweave.operators.joins import equi_join
 from gradeweave.operators.sizes import BROADCAST_BYTES, fits_broadcast
 from gradeweave.sources.schemas import PASS_MARK
 from gradeweave.sources.shared import written
@@ -22,31 +21,42 @@ OF_STUDENT_IN_VIEW = """
 SELECT AVG(grade) AS average_grade FROM co WHERE student_id = :student AND grade >= :pass_mark
 """
 
-# Offers are filtered and registrations summed per offer before they meet, so neither an
-# offer with very many registrations nor one listed repeatedly weighs on the join.
+# {braces} stand for DataFrames, so no view of the session is touched.
+PERIOD_OFFERS = """
+SELECT DISTINCT offer_id AS listed_id FROM {offers} WHERE yr = :year AND quartile = :quartile
+"""
+
+# Registrations are summed per offer before they meet other offers, so neither an offer with
+# very many registrations nor one listed repeatedly weighs on the join.
 BY_OFFER = """
-WITH period AS (
-  SELECT DISTINCT listed_id FROM listed_offers WHERE yr = :year AND quartile = :quartile
-), totals AS (
+SELECT offer_id, CAST(s AS DOUBLE) / n AS average_grade
+FROM (
   SELECT offer_id, sum(grade) AS s, count(grade) AS n
-  FROM registrations
+  FROM {registrations}
   WHERE grade >= :pass_mark
   GROUP BY offer_id
 )
-SELECT offer_id, CAST(s AS DOUBLE) / n AS average_grade
-FROM totals JOIN period ON listed_id = offer_id
+JOIN {period} ON listed_id = offer_id
+"""
+
+# The same for a period that is broadcast: other offers' registrations are not even summed.
+BY_OFFER_OF_FEW = """
+SELECT offer_id, CAST(sum(grade) AS DOUBLE) / count(grade) AS average_grade
+FROM {registrations} LEFT SEMI JOIN {period} ON listed_id = offer_id
+WHERE grade >= :pass_mark
+GROUP BY offer_id
 """
 
 STUDENT_TOTALS = """
 SELECT offer_id, sum(grade) AS s, count(grade) AS n
-FROM registrations
+FROM {registrations}
 WHERE student_id = :student AND grade >= :pass_mark
 GROUP BY offer_id
 """
 
 OF_STUDENT = """
 SELECT CAST(sum(s * times) AS DOUBLE) / sum(n * times) AS average_grade
-FROM student_totals JOIN offer_times ON listed_id = offer_id
+FROM {totals} JOIN {times} ON listed_id = offer_id
 """
 
 
@@ -54,23 +64,38 @@ def register_joined(offers: DataFrame, registrations: DataFrame, view: str = "co
     """Register offers joined with registrations as a view for the caller's own SQL.
 
     The key keeps both names: ``listed_id`` from the offers, ``offer_id`` from the
-    registrations. Filters in the SQL reach both tables.
+    registrations. Nothing runs before the SQL does; its filters reach both tables, and
+    adaptive execution splits what is still skewed then.
     """
-    joined = equi_join(offers, registrations, "offer_id").withColumn(
-        "listed_id", F.col("offer_id")
-    )
+    listed = offers.withColumnRenamed("offer_id", "listed_id")
+    joined = listed.join(registrations, F.col("listed_id") == F.col("offer_id"))
     joined.createOrReplaceTempView(view)
     return joined
 
 
 def average_by_offer(
-    spark: SparkSession, offers: DataFrame, registrations: DataFrame, *, year: int, quartile: int
+    spark: SparkSession,
+    offers: DataFrame,
+    registrations: DataFrame,
+    *,
+    year: int,
+    quartile: int,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """offer_id, average_grade (double) of each offer in a period with a passed grade."""
-    offers.withColumnRenamed("offer_id", "listed_id").createOrReplaceTempView("listed_offers")
-    registrations.createOrReplaceTempView("registrations")
+    """offer_id, average_grade (double) of each offer in a period with a passed grade.
+
+    The period's offers are written out and measured. If they are small, they are broadcast
+    and pick registrations before these are summed.
+    """
+    period = written(
+        spark.sql(PERIOD_OFFERS, args={"year": year, "quartile": quartile}, offers=offers),
+        "period-offers",
+    )
+    text = BY_OFFER
+    if fits_broadcast(period, limit):
+        text, period = BY_OFFER_OF_FEW, F.broadcast(period)
     return spark.sql(
-        BY_OFFER, args={"year": year, "quartile": quartile, "pass_mark": PASS_MARK}
+        text, args={"pass_mark": PASS_MARK}, registrations=registrations, period=period
     )
 
 
@@ -88,9 +113,12 @@ def average_of_student(
     are written out, so that the registrations are read once and the size of the sums is
     known: when they are small they are broadcast and the offers are not shuffled.
     """
-    registrations.createOrReplaceTempView("registrations")
     totals = written(
-        spark.sql(STUDENT_TOTALS, args={"student": student_id, "pass_mark": PASS_MARK}),
+        spark.sql(
+            STUDENT_TOTALS,
+            args={"student": student_id, "pass_mark": PASS_MARK},
+            registrations=registrations,
+        ),
         "student-totals",
     )
     listed = offers.select(F.col("offer_id").alias("listed_id"))
@@ -99,6 +127,4 @@ def average_of_student(
         times = listed.withColumn("times", F.lit(1))
     else:
         times = listed.groupBy("listed_id").agg(F.count("*").alias("times"))
-    totals.createOrReplaceTempView("student_totals")
-    times.createOrReplaceTempView("offer_times")
-    return spark.sql(OF_STUDENT)
+    return spark.sql(OF_STUDENT, totals=totals, times=times)

@@ -13,13 +13,13 @@ _own_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``.
+    """The folder the session names in ``spark.checkpoint.dir``, or as its checkpoint folder.
 
     Only a local session may leave it unset (all its tasks run on this machine); it then
     gets one temporary folder per process. On a cluster a missing setting is an error,
     because a driver-local folder would be lost or invisible to the executors.
     """
-    named = spark.conf.get(SETTING, None)
+    named = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):

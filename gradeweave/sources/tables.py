@@ -1,11 +1,8 @@
 """Reading and writing the comma-separated table files.
 
-Two ways in:
-
-* ``read_table`` - the CSV reader with an explicit schema. Splittable, pruned to the used
-  columns, strict about malformed cells. Every file must start with a header line.
-* ``read_lines`` + ``drop_header`` + ``parse_lines`` - the text route, for a folder in
-  which only the first file has a header, or where header lines repeat.
+``read_table`` reads a table's lines, leaves out header lines wherever they stand, and parses
+the rest strictly. Part files may have a header each, or only the first of them, or none.
+``read_lines``, ``drop_header`` and ``parse_lines`` are its steps, for other layouts.
 """
 
 from __future__ import annotations
@@ -25,31 +22,17 @@ def table_path(folder: str, name: str) -> str:
 
 
 def read_table(
-    spark: SparkSession,
-    folder: str,
-    name: str,
-    *,
-    key_type: DataType | None = None,
-    single_header: bool = False,
+    spark: SparkSession, folder: str, name: str, *, key_type: DataType | None = None
 ) -> DataFrame:
-    """Scan a table; a ``null`` cell is missing, any other malformed cell fails the job.
+    """Scan a table; a ``null`` cell is missing, any other malformed cell that is read fails
+    the job.
 
-    ``single_header`` says that the table is a folder of which only the first file has the
-    header line; header lines are then removed by equality with that line.
+    A header line starts with the table's own name. No other line can: the first column of
+    every table is a number.
     """
-    path = table_path(folder, name)
-    schema = table_schema(name, key_type)
-    if single_header:
-        header = first_line(spark, path)
-        return parse_lines(drop_header(read_lines(spark, path), header), schema)
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("nullValue", MISSING)
-        .option("quote", "")
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    lines = read_lines(spark, table_path(folder, name))
+    rows = lines.where((F.col("value") != "") & ~F.startswith(F.col("value"), F.lit(name)))
+    return parse_lines(rows, table_schema(name, key_type))
 
 
 def read_with_header_row(

@@ -57,3 +57,19 @@ def test_command(spark, folder, capsys, arguments, expected):
 def test_options(spark, folder, capsys):
     main([folder, "--wide-keys", "--registrations", "CourseRegistrations2", "first-row"])
     assert f"|{OFFERS[0][0]} " in capsys.readouterr().out
+
+
+def test_all_rows_are_printed_or_written(spark, registrations, tmp_path, capsys):
+    folder = str(tmp_path / "tables")
+    write_table(registrations, folder, "CourseRegistrations")
+    write_table(spark.range(1, 101).selectExpr("int(id) q"), folder, "QuantilePoints")
+
+    def printed():
+        return [line for line in capsys.readouterr().out.splitlines() if line.startswith("|")]
+
+    main([folder, "cumulative-counts"])
+    assert len(printed()) == 1 + 97  # points from 4 on, and the names
+    main(["--preview", "3", folder, "cumulative-counts"])
+    assert len(printed()) == 1 + 3
+    main(["--output", str(tmp_path / "out"), folder, "cumulative-counts"])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 97 and not printed()

@@ -10,7 +10,7 @@ from gradeweave.sources.shared import new_path, shared_folder, written
 
 
 def session(**settings):
-    return SimpleNamespace(conf=SimpleNamespace(get=settings.get))
+    return SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None), conf=SimpleNamespace(get=settings.get))
 
 
 def test_the_named_folder_is_used():

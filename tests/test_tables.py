@@ -41,7 +41,7 @@ def test_scan_skips_the_header_and_reads_null(spark, tmp_path):
 
 def test_scan_fails_on_a_malformed_cell(spark, tmp_path):
     folder = write(tmp_path, "CourseRegistrations", [HEADER, "1,2,7", "1,3,x"])
-    with pytest.raises(Exception, match="MALFORMED_RECORD|FAILFAST"):
+    with pytest.raises(Exception, match="malformed"):
         read_table(spark, folder, "CourseRegistrations").collect()
 
 
@@ -63,9 +63,8 @@ def test_every_table_has_a_reader(spark, tmp_path):
         header = ",".join(header_cells(name, 1))
         cells = ["1" if f.dataType.typeName() == "integer" else "t" for f in table_schema(name)]
         folder = write(tmp_path, name, [header, ",".join(cells)])
-        for single_header in (False, True):
-            df = read_table(spark, folder, name, single_header=single_header)
-            assert rows_of(df) == [tuple(1 if cell == "1" else "t" for cell in cells)]
+        df = read_table(spark, folder, name)
+        assert rows_of(df) == [tuple(1 if cell == "1" else "t" for cell in cells)]
         assert as_declared(df, name).columns == [c.declared for c in TABLES[name].columns]
 
 
@@ -92,10 +91,8 @@ def test_points_without_newline_at_the_end(spark, tmp_path):
 
 def test_repeated_header_lines_all_go(spark, tmp_path):
     folder = write(tmp_path, "CourseRegistrations", [HEADER, "1,2,3", HEADER, "4,5,6"])
-    df = read_table(spark, folder, "CourseRegistrations", single_header=True)
+    df = read_table(spark, folder, "CourseRegistrations")
     assert rows_of(df) == [(1, 2, 3), (4, 5, 6)]
-    with pytest.raises(Exception, match="MALFORMED_RECORD|FAILFAST"):
-        read_table(spark, folder, "CourseRegistrations").collect()
 
 
 def test_folder_with_one_header(spark, tmp_path):
@@ -105,11 +102,9 @@ def test_folder_with_one_header(spark, tmp_path):
     (folder / "a 1").write_text(f"{header}\n1,2\n")
     (folder / "b").write_text("".join(f"{i},{i}\n" for i in range(5000)))
     (folder / "c").write_text("5,6\n7,8\n")
-    df = read_table(spark, str(tmp_path), "StudentAssistants", single_header=True)
+    df = read_table(spark, str(tmp_path), "StudentAssistants")
     assert df.count() == 5003
     assert first_line(spark, str(folder)) == header
-    # The plain reader would take the first line of b and of c for headers.
-    assert read_table(spark, str(tmp_path), "StudentAssistants").count() == 5001
 
 
 def test_first_line_passes_over_empty_files(spark, tmp_path):
@@ -178,5 +173,5 @@ def test_wide_keys(spark, tmp_path):
     folder = write_table(df, str(tmp_path / "t"), "CourseRegistrations")
     read = read_table(spark, folder, "CourseRegistrations", key_type=LongType())
     assert rows_of(read) == [(key, 1, None)]
-    with pytest.raises(Exception, match="MALFORMED_RECORD|FAILFAST"):
+    with pytest.raises(Exception, match="malformed"):
         read_table(spark, folder, "CourseRegistrations").collect()
