@@ -4,12 +4,14 @@ Writing gives, per record, a row with file, offset, length, URL and digest. Read
 rows of that index first; only the bytes of the selected records are read, neighbouring ones
 together. A payload that occurs again is not stored again: its record is a ``revisit`` that
 names the response with the same payload. Digests are kept once per payload, so copies are
-found from digests; payloads are shuffled once, and only those of responses.
+found from digests; payloads are shuffled once. Each record is a gzip member of its own, so
+that any of them can be read alone.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -171,7 +173,7 @@ def write_archive(
         # The index names the attempt that wrote the file: what another attempt left
         # behind is never read.
         context = TaskContext.get()
-        file = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}.warc"
+        file = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
         at = 0
         with whole_file(file) as out:
             while first is not None:
@@ -180,6 +182,7 @@ def write_archive(
                     name = base64.b32encode(bytes.fromhex(sha1)).decode()
                     stored = body if refers_to is None else None
                     data = record_bytes(page_id, url, stored, len(body), name, refers_to)
+                    data = gzip.compress(data, mtime=0)
                     out.write(data)
                     kind = "response" if refers_to is None else "revisit"
                     index.append((file, at, len(data), page_id, url, name, kind))
@@ -222,8 +225,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name, stream = file, system.open_input_file(path)
         data = stream.read_at(end - start, start)
         for offset, length in places:
-            rows.append(parse_record(data[offset - start : offset - start + length]))
-            held += length
+            record = gzip.decompress(data[offset - start : offset - start + length])
+            rows.append(parse_record(record))
+            held += len(record)
             if len(rows) >= _RECORDS or held >= _BYTES:
                 yield _batch(rows, _RECORD)
                 rows, held = [], 0
