@@ -16,11 +16,16 @@ def bounded_sample(rows: DataFrame, by: str, per_class: int) -> DataFrame:
     """doc_id and ``by`` of at most ``per_class`` rows of each class, in order of a hash of
     the id, so that the same table gives the same sample. Null ids and classes are left out.
     """
+    # A class may have most rows: the first of each bucket are found apart, and only they meet.
+    in_bucket = Window.partitionBy(by, "bucket").orderBy("order", "doc_id")
     first = Window.partitionBy(by).orderBy("order", "doc_id")
     return (
         rows.select("doc_id", by)
         .where(F.col("doc_id").isNotNull() & F.col(by).isNotNull())
         .withColumn("order", F.md5(F.col("doc_id").cast("string").cast("binary")))
+        .withColumn("bucket", F.substring("order", 31, 2))
+        .withColumn("place", F.row_number().over(in_bucket))
+        .where(F.col("place") <= per_class)
         .withColumn("place", F.row_number().over(first))
         .where(F.col("place") <= per_class)
         .select("doc_id", by)
