@@ -114,5 +114,5 @@ def _copy(df: DataFrame, axis: str, k: int) -> DataFrame:
     return df.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
 
 
-def _cells(size: int | None) -> int:
-    return GRID if size is None else max(1, ceil(size / CELL_BYTES))
+def _cells(size: int) -> int:
+    return max(1, ceil(size / CELL_BYTES))

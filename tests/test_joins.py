@@ -10,11 +10,21 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gradeweave.functions.placement import hashed_cell, random_cell
-from gradeweave.operators.joins import equi_join, first_joined_row, hot_keys, semi_join
+from gradeweave.operators import theta
+from gradeweave.operators.joins import (
+    equi_join,
+    first_joined_row,
+    hot_keys,
+    placed,
+    semi_join,
+)
 from gradeweave.operators.sizes import Size, fits_broadcast, is_small, measure
 from gradeweave.operators.theta import grid_join, theta_join
 
 
+HOT_SCHEMA = "offer_id bigint, left_parts int, right_parts int"
+
+
 def joined(left, right):
     """Inner join on the first column, by nested loops."""
     rows = [(*a, *b[1:]) for a, b in product(left, right) if a[0] == b[0]]
@@ -49,25 +59,50 @@ def many_offers(spark):
 
 
 def test_hot_keys_are_found(skewed, many_offers):
-    assert hot_keys("offer_id", skewed[0], rows=100, look_at=1.0) == [1]
-    assert hot_keys("offer_id", skewed[0], rows=1000, look_at=0.2) == [1]
-    assert hot_keys("offer_id", many_offers[0], skewed[0], rows=3, look_at=1.0)[:2] == [0, 1]
-    assert hot_keys("offer_id", many_offers[0], skewed[0]) == []
-    assert hot_keys("offer_id", skewed[0].limit(0)) == []
-
-
-@pytest.mark.parametrize("limit", [1 << 20, 0], ids=["broadcast", "grid"])
-@pytest.mark.parametrize("hot", [[1], [1, 2, 250, 777], []], ids=["one", "some", "none"])
-def test_hot_keys_do_not_change_the_join(skewed, many_offers, limit, hot):
+    offers, rows = many_offers[0], skewed[0]
+    assert rows_of(hot_keys("offer_id", offers, rows, rows=100, look_at=1.0)) == [(1, 1, 36)]
+    ((found, one, some),) = rows_of(hot_keys("offer_id", offers, rows, rows=1000, look_at=0.2))
+    assert (found, one) == (1, 1) and some in (3, 4, 5)
+    both = {row[0]: row[1:] for row in rows_of(hot_keys("offer_id", offers, rows, rows=3, look_at=1.0))}
+    assert len(both) == 500 and both[1] == (1, 1171) and both[2] == (1, 4)
+    assert rows_of(hot_keys("offer_id", offers, rows)) == []
+    assert rows_of(hot_keys("offer_id", rows.limit(0), rows.limit(0))) == []
+
+
+def test_any_number_of_hot_keys_is_found(spark):
+    left, right = spark.range(3000).toDF("k"), spark.range(6000).selectExpr("id % 3000 AS k")
+    hot = hot_keys("k", left, right, rows=2, look_at=1.0)
+    assert hot.count() == 3000 and hot.where("left_parts = 1 AND right_parts = 1").count() == 3000
+    assert equi_join(left, right, "k", hot=hot).count() == 6000
+
+
+@pytest.mark.parametrize("n", [1, 10, 400])
+def test_copies_do_not_grow_with_the_number_of_hot_keys(spark, many_offers, n):
+    hot = spark.range(n).selectExpr("id AS offer_id", "2 AS own", "3 AS other")
+    rows = many_offers[0].where(f"offer_id < {n}")
+    copied = placed(rows, hot, "offer_id", "own", "other")
+    assert copied.count() == 3 * rows.count()
+    assert copied.where("own NOT IN (0, 1) OR other NOT IN (0, 1, 2)").count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0], ids=["split", "plain"])
+@pytest.mark.parametrize(
+    "hot",
+    [[(1, 1, 4)], [(1, 3, 5), (2, 1, 1), (250, 2, 1), (777, 4, 4)], []],
+    ids=["one", "some", "none"],
+)
+def test_hot_keys_do_not_change_the_join(spark, skewed, many_offers, limit, hot):
     plain = many_offers[0].join(skewed[0], "offer_id")
+    hot = spark.createDataFrame(hot, HOT_SCHEMA)
     split = equi_join(many_offers[0], skewed[0], "offer_id", hot=hot, limit=limit)
     assert split.columns == plain.columns
     assert rows_of(split) == rows_of(plain)
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 0], ids=["broadcast", "shuffle"])
-@pytest.mark.parametrize("hot", [None, [1]])
+@pytest.mark.parametrize("hot", [None, [(1, 1, 3)]])
 def test_semi_join_counts_a_row_once(spark, registrations, limit, hot):
+    hot = hot and spark.createDataFrame(hot, HOT_SCHEMA)
     offers = spark.createDataFrame([OFFERS[0], *OFFERS, (None, 1, 1, 1)], OFFER_SCHEMA)
     rows = registrations.union(spark.createDataFrame([(None, 1, 1)], registrations.schema))
     rows = rows.select("grade", "offer_id", "student_id")
@@ -107,11 +142,21 @@ def test_measured_sizes(spark):
     assert measure(texts) == Size(4, 4 * 32 + 5)
     assert measure(texts.limit(0)) == Size(0, 0)
     lists = spark.createDataFrame([([1],)], "a array<int>")
-    assert measure(lists) == Size(1, None)
-    assert not is_small(measure(lists))
+    assert measure(lists) == Size(1, 32 + len('{"a":[1]}'))
+    assert is_small(measure(lists), 41) and not is_small(measure(lists), 40)
     assert fits_broadcast(numbers, 240) and not fits_broadcast(numbers, 239)
 
 
+def test_grid_of_nested_columns_follows_their_size(spark, monkeypatch):
+    monkeypatch.setattr(theta, "CELL_BYTES", 10_000)
+    lists = spark.range(100).selectExpr("id AS x", "array_repeat(id, 50) AS values")
+    cells = {n: theta._cells(measure(lists.limit(n)).bytes) for n in (1, 100)}
+    assert cells[1] == 1 and cells[100] >= 2
+    other = lists.selectExpr("x AS y", "values AS others")
+    found = theta_join(lists, other, F.col("x") < F.col("y"), limit=0, left_key=["x"], right_key=["y"])
+    assert found.count() == 100 * 99 // 2
+
+
 small = st.integers(-3, 12)
 grids = st.tuples(st.integers(1, 6), st.integers(1, 6))
 

@@ -74,7 +74,10 @@ OTHER_PLANS = {
         spark, offers(spark, folder), registrations(spark, folder), limit=0, **registered.PERIOD
     ),
     "equi_join": lambda spark, folder: equi_join(
-        offers(spark, folder), registrations(spark, folder), "offer_id", hot=[1, 2, 3, 500]
+        offers(spark, folder),
+        registrations(spark, folder),
+        "offer_id",
+        hot=spark.range(1, 501).selectExpr("id AS offer_id", "2 AS left_parts", "3 AS right_parts"),
     ),
     "collect_grades": lambda spark, folder: grade_lists(
         passed(registrations(spark, folder)), "offer_id", length=100
