@@ -24,6 +24,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 WORDS = 5
 SIMILAR = 80
 
+# Pre-tokens that a worker keeps: fewer than in a job of its own, for the executors of a
+# pipeline hold the memory of earlier stages too.
+MEMO = 250_000
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF keeps; it learns from the labels of the table."""
@@ -48,7 +52,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids, in sequences."""
-    return pack(docs, queries.tokenizer_path())
+    return pack(docs, queries.tokenizer_path(), memo=MEMO)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeweave.llm.tokens import Coder
+from gradeweave.llm.tokens import MEMO, Coder
 
 
 class Limits(NamedTuple):
@@ -138,6 +138,7 @@ def pack(
     *,
     prompt: str | None = None,
     limits: Limits = Limits(),
+    memo: int = MEMO,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (unsigned 32-bit, little-endian),
     doc_tokens, loss_tokens, sequence_id, offset.
@@ -145,7 +146,8 @@ def pack(
     A document is the ids of its text and then id 0. With ``prompt``, the name of a text
     column, the ids of the prompt come first and bear no loss; without it all ids do. A null
     text or prompt is empty. Equal rows are packed once each, rows of a null ``doc_id`` too;
-    an empty table gives no row; other columns are not looked at. The packing follows the
+    an empty table gives no row; other columns are not looked at. A worker keeps the ids of
+    about ``memo`` pre-tokens. The packing follows the
     order of the rows in the input splits, so a task that is run again repeats it.
     """
     text = F.col("text").alias("text")
@@ -154,7 +156,7 @@ def pack(
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = Coder(tokenizer)
+        coder = Coder(tokenizer, memo)
         packer = Packer(limits)
         # Sequences of a task are numbered apart from those of any other.
         base = TaskContext.get().partitionId() << 40

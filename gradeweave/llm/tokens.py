@@ -24,7 +24,7 @@ _PIECES = re.compile(
 )
 
 # Pre-tokens kept per worker before the memo starts anew.
-MEMO = 250_000
+MEMO = 1_000_000
 
 # Pre-tokens coded by one call.
 _AT_ONCE = 2_000
