@@ -28,15 +28,26 @@ SIMILAR = 80
 # pipeline hold the memory of earlier stages too.
 MEMO = 250_000
 
+# Bytes of one Arrow batch. Spark's default of 64 MB stands several times in the memory of an
+# executor: for each of its tasks in the JVM and, twice or more, in the Python worker.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limit the Arrow batches of this session from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF keeps; it learns from the labels of the table."""
+    small_batches(spark)
     model = quality.fit(docs, queries.labels(spark, sf_dir))
     return quality.retained(docs, model)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies."""
+    small_batches(spark)
     return one_of_each(docs, k=WORDS, percent=SIMILAR)
 
 
@@ -52,6 +63,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids, in sequences."""
+    small_batches(spark)
     return pack(docs, queries.tokenizer_path(), memo=MEMO)
 
 
