@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 from pathlib import Path
 
 import pyarrow as pa
@@ -26,9 +28,17 @@ from gradeweave.operators.grouping import (
     grade_lists,
     list_text,
     sum_count,
+    value_lists,
 )
 from gradeweave.operators.joins import equi_join, first_joined_row
-from gradeweave.operators.rows import keep_columns, preview, sample_rows, tagged, tagged_union
+from gradeweave.operators.rows import (
+    keep_columns,
+    preview,
+    sample_by_digest,
+    sample_rows,
+    tagged,
+    tagged_union,
+)
 from gradeweave.plans.averages import (
     average_of_course,
     average_of_only_offer,
@@ -105,14 +115,27 @@ def _scan_points(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, folder, "QuantilePoints")
 
 
+# The text copy of each registrations table, by session: both scans read the same one.
+_copies: dict[tuple[str, str], str] = {}
+
+
 def _written_registrations(spark: SparkSession, sf: str) -> str:
+    of = (spark.sparkContext.applicationId, sf)
+    if of not in _copies:
+        _copies[of] = _copy_of_registrations(spark, sf)
+    return _copies[of]
+
+
+def _copy_of_registrations(spark: SparkSession, sf: str) -> str:
     return write_table(registrations(spark, sf), new_path(spark, "tables"), "CourseRegistrations")
 
 
 def _scan_header_as_null(spark: SparkSession, sf: str) -> DataFrame:
     folder = _written_registrations(spark, sf)
     rows = read_with_header_row(spark, folder, "CourseRegistrations", key_type=LongType())
-    return rows.where(F.col("grade") >= 5)
+    # A header line is a row of nulls; there is one per part file, shown as one.
+    header = reduce(and_, [F.col(name).isNull() for name in rows.columns])
+    return rows.where(F.col("grade") >= 5).unionByName(rows.where(header).distinct())
 
 
 def _drop_header(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,6 +234,11 @@ def _collect_grades(spark: SparkSession, sf: str) -> DataFrame:
     return _passed_lists(spark, sf).select("offer_id", "part", list_text().alias("grades"))
 
 
+def _collect_students(spark: SparkSession, sf: str) -> DataFrame:
+    lists = value_lists(registrations(spark, sf), "offer_id", "student_id")
+    return lists.select("offer_id", "part", list_text("values").alias("students"))
+
+
 def _explode_grades(spark: SparkSession, sf: str) -> DataFrame:
     return explode_lists(_passed_lists(spark, sf), "offer_id")
 
@@ -245,6 +273,7 @@ def queries() -> dict[str, Query]:
         "count_rows": lambda spark, sf: count_rows(passed(registrations(spark, sf))),
         "tagged_union": _tagged_union,
         "collect_grades": _collect_grades,
+        "collect_students": _collect_students,
         "explode_grades": _explode_grades,
         "grade_cdf": lambda spark, sf: cumulative_counts(
             registrations(spark, sf), points(spark, sf)
@@ -256,6 +285,7 @@ def queries() -> dict[str, Query]:
             registrations(spark, sf), points(spark, sf)
         ),
         "preview_rows": lambda spark, sf: preview(registrations(spark, sf).where(graded())),
+        "sample_by_digest": lambda spark, sf: sample_by_digest(registrations(spark, sf)),
         "sample_rows": lambda spark, sf: sample_rows(registrations(spark, sf)),
         "format_result": _format_result,
         **_of_corpus(),
@@ -336,7 +366,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "scan_table": f"SELECT * FROM {_OFFERS}",
         "scan_points": f"SELECT * FROM {_POINT_ROWS}",
-        "scan_header_as_null": f"SELECT * FROM {_REGISTRATIONS} WHERE grade >= 5",
+        "scan_header_as_null": f"""
+          SELECT * FROM {_REGISTRATIONS} WHERE grade >= 5
+          UNION ALL SELECT NULL, NULL, NULL""",
         "drop_header": f"""
           SELECT CAST(offer_id AS VARCHAR) || ',' || CAST(student_id AS VARCHAR) || ','
             || CAST(grade AS VARCHAR) AS value
@@ -389,6 +421,10 @@ def oracle_sql() -> dict[str, str]:
               PARTITION BY offer_id ORDER BY grade) - 1) // {LIST_LENGTH} AS part
             FROM {_PASSED})
           GROUP BY offer_id, part""",
+        "collect_students": f"""
+          SELECT offer_id, CAST(0 AS BIGINT) AS part,
+            string_agg(CAST(student_id AS VARCHAR), ',' ORDER BY student_id) AS students
+          FROM {_REGISTRATIONS} GROUP BY offer_id""",
         "explode_grades": f"SELECT * FROM {_PASSED}",
         "grade_cdf": _cumulative(_POINTS),
         "grade_cdf_preagg": _cumulative(_POINT_ROWS),
@@ -396,6 +432,10 @@ def oracle_sql() -> dict[str, str]:
         "preview_rows": f"""
           SELECT * FROM {_REGISTRATIONS} WHERE grade IS NOT NULL
           ORDER BY offer_id, student_id, grade LIMIT 20""",
+        "sample_by_digest": f"""
+          SELECT * FROM {_REGISTRATIONS}
+          WHERE left(md5(concat_ws(',', offer_id, student_id,
+            coalesce(CAST(grade AS VARCHAR), 'null'))), 7) < '4000000'""",
         "format_result": f"""
           SELECT 'CourseId = ' || CAST(course_id AS VARCHAR) || ', sum = '
             || CAST(sum(grade) AS VARCHAR) || ', count = ' || CAST(count(*) AS VARCHAR)

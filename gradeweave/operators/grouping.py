@@ -9,7 +9,9 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeweave.operators.sizes import BROADCAST_BYTES, fits_broadcast
 from gradeweave.sources.schemas import GRADES
+from gradeweave.sources.shared import written
 
 # Longest list in one row.
 LIST_LENGTH = 1_000_000
@@ -84,6 +86,45 @@ def grade_lists(
     return short_lists.unionByName(long_lists)
 
 
+def value_lists(
+    df: DataFrame,
+    key: str,
+    value: str,
+    *,
+    length: int = LIST_LENGTH,
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """key, part, values: all non-null values of each key as arrays, for values of any domain.
+
+    Equal values of a key are counted before anything is collected. A key with up to ``length``
+    values has the one part 0, in ascending order. A longer one is cut into parts of about
+    ``length`` values by a hash, each ascending in itself, so that no task holds or sorts
+    a whole key; laid together, the parts are its whole list.
+    """
+    counted = written(
+        df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("times")),
+        "value-counts",
+    )
+    total = counted.groupBy(key).agg(F.sum("times").alias("total"))
+    # Of long keys there is at most one in ``length`` rows.
+    long = total.where(F.col("total") > length).select(
+        F.col(key).alias("long_key"), F.expr(f"(total - 1) div {length} + 1").alias("parts")
+    )
+    long = F.broadcast(long) if fits_broadcast(long, limit) else long
+    # A value that alone fills several parts comes in pieces.
+    pieces = counted.withColumn(
+        "piece", F.explode(F.expr(f"sequence(0L, (times - 1) div {length})"))
+    ).withColumn("times", F.least(F.col("times") - F.col("piece") * length, F.lit(length)))
+    part = F.pmod(F.xxhash64(value, "piece"), F.coalesce("parts", F.lit(1)))
+    collected = (
+        pieces.join(long, F.col(key).eqNullSafe(F.col("long_key")), "left")
+        .groupBy(key, part.alias("part"))
+        .agg(F.sort_array(F.collect_list(F.struct(value, "times"))).alias("runs"))
+    )
+    repeated = F.transform("runs", lambda run: F.array_repeat(run[value], run["times"].cast("int")))
+    return collected.select(key, "part", F.flatten(repeated).alias("values"))
+
+
 def explode_lists(lists: DataFrame, key: str, value: str = "grade") -> DataFrame:
     """key, value: one row per element of the lists.
 

@@ -2,7 +2,8 @@
 
 All non-null grades count. A point below every grade has no row; equal points multiply the
 count. The three forms give the same rows. Each starts from the count per distinct grade,
-so that no pair of a registration with a point is ever built.
+so that no pair of a registration with a point is ever built. The counts are written, so
+that planning the join by their size does not read the registrations twice.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gradeweave.functions.grades import graded
 from gradeweave.operators.theta import GRID, grid_join, theta_join
+from gradeweave.sources.shared import written
 
 
 def _at_or_below() -> Column:
@@ -20,7 +22,8 @@ def _at_or_below() -> Column:
 
 def grade_counts(registrations: DataFrame) -> DataFrame:
     """grade, c: how often each grade was given."""
-    return registrations.where(graded()).groupBy("grade").agg(F.count("*").alias("c"))
+    counts = registrations.where(graded()).groupBy("grade").agg(F.count("*").alias("c"))
+    return written(counts, "grade-counts")
 
 
 def _sorted_counts(pairs: DataFrame, amount: str) -> DataFrame:

@@ -7,7 +7,13 @@ import pytest
 from compare import plan_of, rows_of
 from pyspark.sql import functions as F
 
-from gradeweave.operators.grouping import count_rows, explode_lists, grade_lists, list_text
+from gradeweave.operators.grouping import (
+    count_rows,
+    explode_lists,
+    grade_lists,
+    list_text,
+    value_lists,
+)
 from gradeweave.operators.rows import keep_columns, preview, sample_rows, tagged, tagged_union
 from gradeweave.plans.averages import passed
 
@@ -37,6 +43,21 @@ def test_long_lists_are_whole_in_bounded_parts(spark, length):
     assert Counter(rows_of(explode_lists(lists, "k"))) == Counter(rows)
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_lists_of_any_value_are_whole_in_parts(spark, limit):
+    values = {1: [f"v{i % 700}" for i in range(997)], None: ["a", "b"] * 3, 3: ["x"] * 250}
+    rows = [(key, value) for key, several in values.items() for value in several]
+    df = spark.createDataFrame([*rows, (4, None), (1, None)], "k int, v string").repartition(4)
+    found = {}
+    for key, part, some in value_lists(df, "k", "v", length=100, limit=limit).collect():
+        assert some == sorted(some) and len(some) < 400
+        found.setdefault(key, {})[part] = some
+    assert {key: len(parts) for key, parts in found.items()}[None] == 1
+    assert len(found[1]) == 10
+    whole = {key: sorted(sum(parts.values(), [])) for key, parts in found.items()}
+    assert whole == {key: sorted(several) for key, several in values.items()}
+
+
 def test_parts_of_a_long_list_are_spread_over_tasks(spark):
     df = spark.range(40_000).select(
         F.expr("id div 40000").alias("k"), (F.col("id") % 10 + 1).cast("int").alias("grade")
