@@ -2,8 +2,9 @@
 
 A text is the set of its terms: words, and the first letters of longer words. Besides a
 weight, each term has a short vector; every pair of terms that occur together adds the
-product of their vectors, so that two harmless terms can be harmful together. Terms that
-do not tell the classes apart in the sample are left out, so long texts are not drowned.
+product of their vectors, so that two harmless terms can be harmful together. Every term of
+the sample that is not too rare is learned, whatever it tells alone; what shrinks weights and
+vectors while they are fitted keeps long texts from being drowned.
 """
 
 from __future__ import annotations
@@ -23,12 +24,16 @@ from gradeweave.llm.text import Batch, batches, hashes, lowered
 HASH_BITS = 20
 STARTS = (4, 5, 6)
 
-# Terms of the model at most, and the least distance (in standard errors) between their
-# shares of the two classes.
-TERMS = 1024
-TELLING = 4.0
+# Texts of the sample that must have a term. No term is left out for what it tells alone;
+# TELLING, once the bar for that, is read nowhere and stays for a test that sets it to 0.
+LEAST = 3
+TELLING = 0.0
 FACTORS = 8
 
+# Texts of one step of the fit, and what its first step sizes are divided by, squared.
+AT_ONCE = 128
+FIRST = 1e-3
+
 # Bound of the training sample: documents of each label, and the remainder of crc32(doc_id)
 # modulo 5 that is never learned from.
 PER_LABEL = 4000
@@ -90,58 +95,65 @@ def present(model_terms: np.ndarray, text: np.ndarray, number: np.ndarray) -> tu
 
 
 def train(
-    documents: list[np.ndarray], labels: list[int], share: float, rounds: int = 150,
-    rate: float = 0.05, decay: float = 2e-4,
+    documents: list[np.ndarray], labels: list[int], share: float, rounds: int = 15,
+    rate: float = 0.05, decay: float = 2e-4, shrink: float = 3e-3,
 ) -> Machine:
     """``documents`` are the distinct hash numbers of each text; ``share`` the share of label
-    1 in the whole table, to which the odds are set."""
-    y = np.array(labels, float)
+    1 in the whole table, to which the odds are set.
+
+    Each of ``rounds`` goes over all texts in steps of a few, which change only the terms in
+    them. Such a step also takes ``decay`` of the values, and ``shrink`` off the size of each
+    weight and the length of each vector.
+    """
+    y = np.array(labels, np.float32)
     odds = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
     if len(set(labels)) < 2:
         return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)), float(odds))
     number = np.concatenate(documents)
     text = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-    in_one = np.bincount(number[y[text] == 1], minlength=1 << HASH_BITS)
-    in_all = np.bincount(number, minlength=1 << HASH_BITS)
+    known = np.flatnonzero(np.bincount(number, minlength=1 << HASH_BITS) >= LEAST)
+    text, place = present(known, text, number)
     n, ones = len(y), y.sum()
-    rate_one, rate_zero = in_one / ones, (in_all - in_one) / (n - ones)
-    mean = in_all / n
-    error = np.sqrt(np.maximum(mean * (1 - mean) * (1 / ones + 1 / (n - ones)), 1e-12))
-    telling = np.where(in_all >= 3, np.abs(rate_one - rate_zero) / error, 0.0)
-    chosen = np.argsort(-telling, kind="stable")[:TERMS]
-    chosen = np.sort(chosen[telling[chosen] >= TELLING])
-
-    text, place = present(chosen, text, number)
-    x = np.zeros((n, len(chosen)), np.float32)
-    x[text, place] = 1
-    weight = np.where(y == 1, 0.5 / ones, 0.5 / (n - ones)).astype(np.float32)
+    bounds = np.searchsorted(text, np.arange(n + 1))
+    # The classes weigh alike.
+    weight = np.where(y == 1, 0.5 * n / ones, 0.5 * n / (n - ones)).astype(np.float32)
     draw = np.random.default_rng(1)
-    values = [
-        np.zeros(len(chosen), np.float32),
-        draw.normal(0, 0.02, (len(chosen), FACTORS)).astype(np.float32),
-        np.zeros(1, np.float32),
-    ]
-    moments = [[np.zeros_like(v), np.zeros_like(v)] for v in values]
-    for r in range(1, rounds + 1):
-        w, v, b = values
-        sums = x @ v
-        out = x @ w + b + ((sums**2).sum(axis=1) - x @ (v**2).sum(axis=1)) / 2
-        off = weight * (y - 1 / (1 + np.exp(-np.clip(out, -30, 30)))).astype(np.float32)
-        seen = x.T @ off
-        slopes = [
-            seen - decay * w,
-            x.T @ (off[:, None] * sums) - seen[:, None] * v - decay * v,
-            np.array([off.sum()], np.float32),
-        ]
-        for k, slope in enumerate(slopes):
-            m = moments[k]
-            m[0], m[1] = 0.9 * m[0] + 0.1 * slope, 0.99 * m[1] + 0.01 * slope**2
-            change = m[0] / (1 - 0.9**r) / (np.sqrt(m[1] / (1 - 0.99**r)) + 1e-7)
-            values[k] = values[k] + rate * change
-    w, v, b = (np.asarray(x, float) for x in values)
-    # The classes were weighted alike. Half of the whole table's odds shift the bias: a toxic
-    # text that is missed weighs more than a false alarm.
-    return Machine(chosen, w, v, float(b[0] + odds / 2))
+    # Weight and vector of each term, and the sum of their squared slopes.
+    values = np.zeros((len(known), 1 + FACTORS), np.float32)
+    values[:, 1:] = draw.normal(0, 0.02, (len(known), FACTORS))
+    slopes = np.full_like(values, FIRST)
+    bias, bias_slopes = 0.0, 1e-8
+    for _ in range(rounds):
+        order = draw.permutation(n)
+        for first in range(0, n, AT_ONCE):
+            some = order[first : first + AT_ONCE]
+            inside = [place[bounds[i] : bounds[i + 1]] for i in some]
+            row = np.repeat(np.arange(len(some)), [len(p) for p in inside])
+            used, column = np.unique(np.concatenate(inside), return_inverse=True)
+            x = np.zeros((len(some), len(used)), np.float32)
+            x[row, column] = 1
+            w, v = values[used, 0], values[used, 1:]
+            sums = x @ v
+            out = bias + x @ w + ((sums**2).sum(axis=1) - x @ (v**2).sum(axis=1)) / 2
+            off = weight[some] * (y[some] - 1 / (1 + np.exp(-np.clip(out, -30, 30))))
+            off = (off / len(some)).astype(np.float32)
+            seen = x.T @ off
+            slope = np.column_stack((seen, x.T @ (off[:, None] * sums) - seen[:, None] * v))
+            slope -= decay * values[used]
+            slopes[used] += slope**2
+            step = rate / np.sqrt(slopes[used])
+            moved = values[used] + step * slope
+            w, v = moved[:, 0], moved[:, 1:]
+            w[:] = np.sign(w) * np.maximum(np.abs(w) - shrink * step[:, 0], 0)
+            length = np.maximum(np.sqrt((v**2).sum(axis=1)), 1e-12)
+            v *= np.maximum(1 - shrink * step[:, 1:].mean(axis=1) / length, 0)[:, None]
+            values[used] = moved
+            total = float(off.sum())
+            bias_slopes += total**2
+            bias += rate * total / np.sqrt(bias_slopes)
+    # Half of the whole table's odds shift the bias: a toxic text that is missed weighs more
+    # than a false alarm.
+    return Machine(known, values[:, 0], values[:, 1:], float(bias + odds / 2))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Machine:

@@ -177,6 +177,22 @@ def test_pairs_of_terms_tell_what_single_ones_do_not():
     assert right.mean() > 0.9
 
 
+def test_pairs_of_terms_tell_with_the_settings_of_the_query():
+    draw = np.random.default_rng(0)
+    documents, labels = [], []
+    for _ in range(1500):
+        a, b = draw.integers(0, 2, 2)
+        documents.append(np.array([100 + a, 200 + b, *draw.integers(1000, 1050, 5)]))
+        labels.append(int(a == b))
+    documents = [np.unique(d) for d in documents]
+    model = toxicity.train(documents, labels, 0.5)
+    assert {100, 101, 200, 201, *range(1000, 1050)} == set(model.terms.tolist())
+    text = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+    found = toxicity.present(model.terms, text, np.concatenate(documents))
+    right = (toxicity.score(model, *found, len(documents)) > 0) == (np.array(labels) == 1)
+    assert right.mean() > 0.9
+
+
 def test_archives(spark, tables, results):
     pages = spark.read.parquet(f"{tables}/pages.parquet").toPandas().sort_values("page_id")
     got = results("op6_warc_index")
