@@ -2,9 +2,10 @@
 
 Emails, IP addresses, card and phone numbers are found by pattern. They are the protected
 entities. From all documents it is then estimated how much a term tells of an entity: the
-pointwise mutual information of the two, as a share of the entity's own information. Terms
-above a threshold disclose the entity even where it has been taken out, so they are
-generalised, or removed if they all but name it.
+pointwise mutual information of the two, as a share of the entity's own information. A term
+and an entity meet where they stand in one document, however far apart; equal texts count as
+one document everywhere. Terms above a threshold disclose the entity even where it has been
+taken out, so they are generalised, or removed if they all but name it.
 """
 
 from __future__ import annotations
@@ -35,13 +36,7 @@ _SIGNS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"[\p{L}\p{N}]+"
 SHORTEST = 3
 
-# Characters before and after a mention that count as its context.
-REACH = 120
-
-# Hashes in the sign of a context.
-SIGN = 4
-
-# Contexts in which a term must stand with an entity; shares of the entity's information from
+# Distinct texts in which a term must stand with an entity; shares of the entity's information from
 # which on a term is generalised, or removed.
 SUPPORT = 3
 GENERALISE = 0.8
@@ -127,44 +122,31 @@ def found_base(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return rows.select("*", *[base_spans(F.col("text"), kind).alias(kind) for kind in PATTERNS])
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """entity, sign and terms of each context of a protected entity, each context once.
-
-    The sign is made of the least hashes of the terms, so that copies of a passage, and many of
-    its near copies, count as one context.
-    """
+def entities() -> Column:
+    """The distinct protected entities of a row of ``found_base``."""
 
     def of_kind(kind: str) -> Column:
         return F.transform(
             F.col(kind),
-            lambda span: F.struct(
-                F.concat(
-                    F.lit(f"{kind}:"),
-                    F.lower(span["value"]) if kind == "email" else (
-                        span["value"] if kind == "ip" else digits(span["value"])
-                    ),
-                ).alias("entity"),
-                span["start"].alias("start"),
-                span["end"].alias("end"),
+            lambda span: F.concat(
+                F.lit(f"{kind}:"),
+                F.lower(span["value"]) if kind == "email" else (
+                    span["value"] if kind == "ip" else digits(span["value"])
+                ),
             ),
         )
 
-    mentions = found.select(
-        "text", F.explode(F.concat(*[of_kind(kind) for kind in PATTERNS])).alias("mention")
-    )
-    start, end = F.col("mention.start"), F.col("mention.end")
-    left = F.substr("text", F.greatest(F.lit(1), start - REACH + 1), F.least(start, F.lit(REACH)))
-    right = F.substr("text", end + 1, F.lit(REACH))
-    # A word that the window cuts is left out.
-    left = F.when(start > REACH, F.regexp_replace(left, rf"^{TERM}", "")).otherwise(left)
-    cut = F.char_length("text") > end + REACH
-    right = F.when(cut, F.regexp_replace(right, rf"{TERM}$", "")).otherwise(right)
-    around = mentions.select(
-        F.col("mention.entity").alias("entity"), terms_in(F.concat_ws(" ", left, right)).alias("terms")
-    ).where(F.size("terms") > 0)
-    least = F.slice(F.array_sort(F.transform("terms", lambda t: F.xxhash64(t))), 1, SIGN)
-    sign = F.xxhash64(least)
-    return around.groupBy("entity", sign.alias("sign")).agg(F.min("terms").alias("terms"))
+    return F.array_distinct(F.concat(*[of_kind(kind) for kind in PATTERNS]))
+
+
+def outside_terms() -> Column:
+    """Distinct terms of a row of ``found_base`` outside its spans."""
+    spans = [
+        F.transform(F.col(kind), lambda s: F.struct(s["start"], s["end"], F.lit(" ").alias("label")))
+        for kind in PATTERNS
+    ]
+    spans = F.concat(*spans)
+    return terms_in(F.when(F.size(spans) == 0, F.col("text")).otherwise(replaced(spans)))
 
 
 def joined_with_few(rows: DataFrame, few: DataFrame, on: str, limit: int) -> DataFrame:
@@ -182,32 +164,59 @@ def disclosing_terms(
 ) -> DataFrame:
     """doc_id, text_key, terms, removed: of each row of ``found_base`` with a disclosing term.
 
-    ``terms`` are all of them, ``removed`` those that all but name an entity. Counts are over
-    all contexts and all documents. A row is known by its id and a hash of its text.
+    ``terms`` are all of them, ``removed`` those that all but name an entity. All counts are
+    numbers of distinct texts, over all documents. A row is known by its id and a hash of its
+    text.
     """
-    seen = written(contexts(found), "contexts")
-    often = (
-        seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    keyed = found.withColumn("text_key", F.xxhash64("text"))
+    rows = written(keyed.groupBy("text_key").agg(F.count("*").alias("n_rows")), "texts")
+    n = F.lit(float(rows.count()))
+    # Each of n_rows equal texts counts as that part of one, so no text moves to find its copies.
+    part = F.lit(1.0) / F.coalesce("n_rows", F.lit(1))
+
+    def texts(parts: Column) -> Column:
+        return F.round(F.sum(parts)).cast("bigint")
+
+    holders = keyed.select("text_key", entities().alias("entities")).where(F.size("entities") > 0)
+    held = written(
+        holders.dropDuplicates(["text_key"]).select("text_key", F.explode("entities").alias("entity")),
+        "entities",
+    )
+    often = written(
+        held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support),
+        "often",
+    )
+    # Texts with the same entities are counted together before these are taken apart.
+    known = written(
+        joined_with_few(held, often, "entity", limit)
+        .groupBy("text_key")
+        .agg(F.array_sort(F.collect_list("entity")).alias("entities"))
+        .join(rows, "text_key"),
+        "known",
     )
     pairs = (
-        seen.join(often, "entity")
-        .select("entity", "n_entity", F.explode("terms").alias("term"))
-        .groupBy("entity", "n_entity", "term")
-        .agg(F.count("*").alias("n_both"))
+        joined_with_few(keyed, known, "text_key", limit)
+        .select("entities", part.alias("part"), F.explode(outside_terms()).alias("term"))
+        .groupBy("entities", "term")
+        .agg(F.sum("part").alias("parts"))
+        .select(F.explode("entities").alias("entity"), "term", "parts")
+        .groupBy("entity", "term")
+        .agg(texts(F.col("parts")).alias("n_both"))
         .where(F.col("n_both") >= support)
     )
-    pairs = written(pairs, "pairs")
-    spread = found.select(
-        "doc_id", F.xxhash64("text").alias("text_key"), F.explode(terms_in(F.col("text"))).alias("term")
+    pairs = written(pairs.join(often, "entity"), "pairs")
+    copies = rows.where(F.col("n_rows") > 1)
+    if fits_broadcast(copies, limit):
+        copies = F.broadcast(copies)
+    spread = keyed.join(copies, "text_key", "left").select(
+        part.alias("part"), F.explode(outside_terms()).alias("term")
     )
-    hits = written(
-        joined_with_few(spread, pairs.select("term").distinct(), "term", limit).distinct(), "hits"
+    with_term = (
+        joined_with_few(spread, written(pairs.select("term").distinct(), "candidates"), "term", limit)
+        .groupBy("term")
+        .agg(texts(F.col("part")).alias("n_term"))
     )
-    documents = found.select("doc_id").count()
-    with_term = hits.groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(documents))
-    both = F.least("n_both", "n_term")
-    told = F.log(both * n / (F.col("n_term") * F.col("n_entity")))
+    told = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity")))
     # An entity that every document has carries no information to disclose.
     own = F.nullif(F.log(n / F.col("n_entity")), F.lit(0.0))
     strong = (
@@ -217,8 +226,10 @@ def disclosing_terms(
         .where(F.col("strength") >= generalise)
     )
     strong = written(strong, "terms")
+    hits = keyed.select("doc_id", "text_key", F.explode(terms_in(F.col("text"))).alias("term"))
     return (
         joined_with_few(hits, strong, "term", limit)
+        .distinct()
         .groupBy("doc_id", "text_key")
         .agg(
             F.array_sort(F.collect_list("term")).alias("terms"),
@@ -289,19 +300,12 @@ def listed(*kinds: str) -> Column:
     return F.array_join(F.concat(*map(of_kind, kinds)), ",")
 
 
-def sanitised() -> Column:
-    """The text of a row of ``protected`` with its spans replaced by labels.
+def replaced(spans: Column) -> Column:
+    """The text of a row with its spans (start, end, label) replaced by their labels.
 
     Spans that overlap become one, under the label of the first.
     """
 
-    def of_kind(kind: str) -> Column:
-        label = F.lit(f"<{kind.upper()}>").alias("label")
-        return F.transform(F.col(kind), lambda s: F.struct(s["start"], s["end"], label))
-
-    spans = [of_kind(kind) for kind in PATTERNS]
-    spans.append(F.transform(F.col("term"), lambda s: F.struct(s["start"], s["end"], s["label"])))
-
     def step(state: Column, span: Column) -> Column:
         gap = F.substr("text", state["at"] + 1, span["start"] - state["at"])
         return F.struct(
@@ -313,13 +317,25 @@ def sanitised() -> Column:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     return F.aggregate(
-        F.array_sort(F.concat(*spans)),
+        F.array_sort(spans),
         start,
         step,
         lambda state: F.concat(state["out"], F.substr("text", state["at"] + 1, F.char_length("text"))),
     )
 
 
+def sanitised() -> Column:
+    """The text of a row of ``protected`` with its spans replaced by labels."""
+
+    def of_kind(kind: str) -> Column:
+        label = F.lit(f"<{kind.upper()}>").alias("label")
+        return F.transform(F.col(kind), lambda s: F.struct(s["start"], s["end"], label))
+
+    spans = [of_kind(kind) for kind in PATTERNS]
+    spans.append(F.transform(F.col("term"), lambda s: F.struct(s["start"], s["end"], s["label"])))
+    return replaced(F.concat(*spans))
+
+
 def cleaned(docs: DataFrame, **options: float) -> DataFrame:
     """``docs`` with sanitised texts: doc_id, text, lang, source, n_chars. A null text becomes
     an empty one."""

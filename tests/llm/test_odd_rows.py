@@ -158,6 +158,21 @@ def test_terms_that_disclose_are_generalised(spark):
         assert texts[100] == "the usual words of and mail today 0"
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_copies_and_shared_passages_do_not_hide_a_term(spark, limit):
+    """Of a thousand copies and three other texts, and of one passage in many texts."""
+    rows = [(i, "the letter of Zanzibar for bob@x.com came late") for i in range(1000)]
+    rows += [(1000 + i, f"{w} Zanzibar {w}s bob@x.com {w}t") for i, w in enumerate(["ab", "cd", "ef"])]
+    rows += [(2000 + i, f"page{i} signed by Quimby at 10.1.2.3 sheet{i}") for i in range(40)]
+    rows += [(3000 + i, f"the letter for page{i} signed by hand came late") for i in range(400)]
+    rows += [(5000, "Zanzibar alone"), (5001, "Quimby alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(disclosure.protected(df, limit=limit).select("doc_id", disclosure.sanitised()).collect())
+    assert texts[5000] == "<TERM> alone" and texts[5001] == "<TERM> alone"
+    assert texts[0] == "the letter of <TERM> for <EMAIL> came late"
+    assert texts[3000] == rows[1043][1]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     found = components(links.union(spark.createDataFrame([(1000, 2000)], "a long, b long")))
