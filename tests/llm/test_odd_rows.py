@@ -173,6 +173,16 @@ def test_copies_and_shared_passages_do_not_hide_a_term(spark, limit):
     assert texts[3000] == rows[1043][1]
 
 
+def test_a_name_far_from_the_mention_is_found(spark):
+    far = "the usual words and nothing else " * 40
+    rows = [(i, f"Zanzibar {far} bob@x.com") for i in range(2)]
+    rows += [(2 + i, f"Zanzibar {far} {w} bob@x.com") for i, w in enumerate(["abc", "def", "ghi"])]
+    rows += [(100 + i, f"{far} {i}") for i in range(50)] + [(200, "I saw Zanzibar once")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(disclosure.protected(df).select("doc_id", disclosure.sanitised()).collect())
+    assert texts[200] == "I saw <NAME> once" and texts[0] == f"<NAME> {far} <EMAIL>"
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     found = components(links.union(spark.createDataFrame([(1000, 2000)], "a long, b long")))
