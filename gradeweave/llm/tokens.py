@@ -3,7 +3,8 @@
 A byte-level tokenizer first cuts a text into pre-tokens and codes each by itself. Texts made
 of well-known characters only are cut here by the same rule, and each distinct pre-token is
 coded by the library once per worker. A text with any other character goes to the library
-as a whole, so no text depends on how two libraries class a rare character.
+as a whole, so no text depends on how two libraries class a rare character; so does a text
+with an added token of the vocabulary, which the library finds before it cuts.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ def _worker_memo(path: str) -> types.ModuleType:
 
         held = types.ModuleType(name)
         held.tokenizer = Tokenizer.from_file(path)
-        held.tokenizer.encode_special_tokens = True
+        added = held.tokenizer.get_added_tokens_decoder().values()
+        held.added = [token.content for token in added]
         held.ids = {}
         sys.modules[name] = held
     return sys.modules[name]
@@ -58,7 +60,11 @@ class Coder:
         return np.array(ids, "<u4").tobytes()
 
     def codes(self, texts: list[str]) -> list[bytes]:
-        cut = [_PIECES.findall(x) if _KNOWN.fullmatch(x) else None for x in texts]
+        added = self.held.added
+        cut = [
+            _PIECES.findall(x) if _KNOWN.fullmatch(x) and not any(a in x for a in added) else None
+            for x in texts
+        ]
         ids = self.held.ids
         if len(ids) > self.memo:
             ids.clear()

@@ -94,6 +94,16 @@ def test_memo_gives_the_ids_of_the_library(text):
     assert coder.codes([text]) == [coder.whole(text)]
 
 
+def test_added_tokens_get_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["a<|endoftext|>b", "no such token", "<|endoftext|>", "é <|endoftext|> 語", "<|endoftext"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in Coder(queries.tokenizer_path()).codes(texts)]
+    assert got == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(got[0]) == 3
+
+
 @settings(deadline=None, max_examples=60)
 @given(
     st.lists(st.tuples(st.integers(1, 300), st.integers(0, 300)), max_size=60),
