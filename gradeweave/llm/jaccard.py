@@ -93,12 +93,13 @@ def name_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_SIGNED = "doc_id bigint, name bigint, n bigint, prefix array<bigint>"
+_SIGNED = "doc_id bigint, text_key bigint, name bigint, n bigint, prefix array<bigint>"
 
 
 def signed(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """doc_id, name and size of each document's set, and its prefix tokens; the prefix is
-    null where the task has met the same set before. No name where the set is empty."""
+    """doc_id, a hash of the text, name and size of each document's set, and its prefix tokens;
+    the prefix is null where the task has met the same set before. No name where the set is
+    empty."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -114,12 +115,13 @@ def signed(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFra
                     if new:
                         met.add(name)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "name", "n", "prefix"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(names, pa.int64()),
+                 pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "name", "n", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SIGNED)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(run, _SIGNED)
 
 
 def few_or_many(df: DataFrame, limit: int) -> DataFrame:
@@ -127,22 +129,26 @@ def few_or_many(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
-def whole_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
+def whole_sets(docs: DataFrame, named: DataFrame, k: int, limit: int) -> DataFrame:
     """name and tokens (64-bit, ascending) of the sets of ``named`` (doc_id, name).
 
-    Only these documents are read into sets again; it costs less than to keep all sets.
+    Only documents of these ids, null included, are read into sets again; it costs less than to
+    keep all sets. An id may stand on rows of other texts: only sets of a wanted name stay.
     """
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            tokens = [t.tobytes() for sets in token_sets(batch.column("text"), k) for t in sets]
+            found = [t for sets in token_sets(batch.column("text"), k) for t in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("name"), pa.array(tokens, pa.binary())], ["name", "tokens"]
-            )
+                [pa.array([name_of(t) for t in found], pa.int64()),
+                 pa.array([t.tobytes() for t in found], pa.binary())],
+                ["name", "tokens"],
+            )
 
-    wanted = named.withColumnRenamed("doc_id", "of_id")
-    texts = docs.join(wanted, F.col("doc_id") == F.col("of_id")).select("name", "text")
+    wanted = few_or_many(named.select(F.col("doc_id").alias("of_id"), F.col("name").alias("of")), limit)
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")), "left_semi").select("text")
     sets = texts.mapInArrow(run, "name bigint, tokens binary")
+    sets = sets.join(wanted, F.col("name") == F.col("of"), "left_semi")
     return written(sets.dropDuplicates(["name"]), "sets")
 
 
@@ -349,6 +355,11 @@ def jaccard_groups(
     such rows only has a null id. An empty table gives no rows; other columns are not looked
     at. ``limit`` bounds what is broadcast, by its measured size.
     """
+    return _grouped_rows(docs, k=k, percent=percent, limit=limit).drop("text_key")
+
+
+def _grouped_rows(docs: DataFrame, *, k: int, percent: int, limit: int) -> DataFrame:
+    """``jaccard_groups`` with text_key, a hash of each row's text."""
     if not 0 < percent <= 100 or k < 1:
         raise ValueError("k must be at least 1, percent from 1 to 100")
     marked = written(signed(docs, k, percent, sketch(docs, k)), "signed")
@@ -367,7 +378,7 @@ def jaccard_groups(
 
     def sets_of(names: DataFrame) -> DataFrame:
         chosen = written(first_ids.join(names.distinct(), "name"), "chosen")
-        return whole_sets(docs, few_or_many(chosen, limit), k)
+        return whole_sets(docs, chosen, k, limit)
 
     stars = written(star_pairs(entries, percent), "stars")
     sets = sets_of(stars.select(F.explode(F.array("a", "b")).alias("name")))
@@ -389,6 +400,7 @@ def jaccard_groups(
     of_name = in_component.join(smallest, "component").select("name", "component_id")
     return marked.join(of_name, "name", "left").select(
         "doc_id",
+        "text_key",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
@@ -396,12 +408,17 @@ def jaccard_groups(
 
 def one_of_each(docs: DataFrame, *, k: int, percent: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose doc_id is the smallest of its
-    component. A document is known by its id: rows that repeat a kept id stay."""
-    groups = written(jaccard_groups(docs, k=k, percent=percent, limit=limit), "groups")
+    component. A row is known by its id and a hash of its text: rows that repeat both stay or
+    go together, as do rows of null id with equal texts."""
+    groups = _grouped_rows(docs, k=k, percent=percent, limit=limit)
+    groups = written(groups, "groups")
     dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("dropped_id")
+        F.col("doc_id").alias("dropped_id"), F.col("text_key").alias("dropped_key")
     )
     dropped = written(dropped.distinct(), "dropped")
     return docs.join(
-        few_or_many(dropped, limit), F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti"
+        few_or_many(dropped, limit),
+        F.col("doc_id").eqNullSafe(F.col("dropped_id"))
+        & (F.xxhash64("text") == F.col("dropped_key")),
+        "left_anti",
     )

@@ -218,3 +218,22 @@ def test_near_copies_in_both_plans(spark, percent):
     for limit in (0, 1 << 20):
         got = jaccard_groups(df, k=4, percent=percent, limit=limit).orderBy("doc_id").collect()
         assert [r["component_id"] for r in got] == expected
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_near_copies_by_null_ids_and_by_one_id_of_two_texts(spark, limit):
+    def text(a, last):
+        return " ".join([f"{a}{i}" for i in range(40)] + [last])
+
+    rows = [
+        (1, text("a", "x")), (None, text("a", "y")), (None, text("b", "x")),
+        (7, text("c", "x")), (7, text("d", "x")), (8, text("c", "y")), (9, text("d", "y")),
+        (3, text("e", "x")), (20, text("e", "y")), (20, text("f", "x")),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_groups(df, k=4, percent=80, limit=limit).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in found) == [
+        (0, 0), (0, 1), (1, 1), (3, 3), (7, 7), (7, 7), (8, 7), (9, 7), (20, 3), (20, 20),
+    ]
+    kept = {tuple(r) for r in one_of_each(df, k=4, percent=80, limit=limit).collect()}
+    assert kept == {rows[i] for i in (0, 2, 3, 4, 7, 9)}
