@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeweave.llm import disclosure, language, quality, toxicity
+from gradeweave.llm.alignment import align_tokenizers
+from gradeweave.llm.bestfit import pack_certified
 from gradeweave.llm.curriculum import curriculum
 from gradeweave.llm.fingerprints import edited_fingerprints
 from gradeweave.llm.jaccard import jaccard_groups
 from gradeweave.llm.packing import pack
 from gradeweave.llm.simple8b import read_ids, write_ids
+from gradeweave.llm.spelling import variants
 from gradeweave.llm.warc import read_records, write_archive
 
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
-    return public_tokenizers.path(TOKENIZER)
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    # Only the queries that tokenize need these files.
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,6 +90,24 @@ def group_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_groups(documents(spark, folder), k=4, percent=85)
 
 
+def certified_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_certified(
+        documents(spark, folder),
+        tokenizer_path(WORD_TOKENIZER),
+        carried={"ids_crc32": F.crc32("ids")},
+    ).pieces
+
+
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants(documents(spark, folder), one_in=31)
+
+
+def tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokenizers(
+        documents(spark, folder), tokenizer_path(), tokenizer_path(PIECE_TOKENIZER)
+    ).documents
+
+
 QUERIES = {
     "op1_merkle_fingerprints": merkle_fingerprints,
     "op2_line_crf": line_crf,
@@ -94,6 +119,9 @@ QUERIES = {
     "op8_vector_packing": vector_packing,
     "op9_simple8b": simple8b,
     "op10_group_jaccard": group_jaccard,
+    "op11_certified_packing": certified_packing,
+    "op12_spelling_variants": spelling_variants,
+    "op13_tokenizer_alignment": tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,142 @@
+"""Cross-tokenizer alignment against plain library calls over the same texts."""
+
+import collections
+import hashlib
+import random
+
+import pytest
+from corpus_fixtures import no_docs, odd_docs, tables  # noqa: F401
+
+from gradeweave.llm import queries
+from gradeweave.llm.alignment import align, align_tokenizers
+from gradeweave.llm.chunks import PairCoder
+
+COLUMNS = "n_a n_b n_groups n_links n_best count_sum groups_sha256".split()
+
+
+@pytest.fixture(scope="module")
+def paths():
+    return queries.tokenizer_path(), queries.tokenizer_path(queries.PIECE_TOKENIZER)
+
+
+@pytest.fixture(scope="module")
+def libraries(paths):
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    byte = Tokenizer.from_file(paths[0])
+    byte.encode_special_tokens = True
+    return byte, SentencePieceProcessor(model_file=paths[1])
+
+
+def of_texts(texts, libraries):
+    """What each text gives, in order, by looking at every byte."""
+    byte, piece = libraries
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in shown}
+    letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    held, count = [], collections.Counter()
+    for text in texts:
+        a = byte.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = piece.encode(text) if text else []
+        bytes_a = [bytes(letters[c] for c in byte.id_to_token(i)) for i in a]
+        bytes_b = [
+            bytes([int(piece.id_to_piece(i)[3:5], 16)])
+            if piece.is_byte(i)
+            else piece.id_to_piece(i).replace("▁", " ").encode()
+            for i in b
+        ]
+        whole = b" " + (text or "").encode()
+        if not text or b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
+            held.append(([], 0, 0, 0, ""))
+            continue
+        of_byte_a = [i for i, x in enumerate(bytes_a) for _ in x]
+        of_byte_b = [i for i, x in enumerate(bytes_b) for _ in x]
+        links = [(a[i], b[j]) for i, j in sorted(set(zip(of_byte_a, of_byte_b)))]
+        groups, left, right = [], [], []
+        for at in range(len(whole)):
+            end_a = at + 1 == len(whole) or of_byte_a[at + 1] != of_byte_a[at]
+            end_b = at + 1 == len(whole) or of_byte_b[at + 1] != of_byte_b[at]
+            left += [str(a[of_byte_a[at]])] * end_a
+            right += [str(b[of_byte_b[at]])] * end_b
+            if end_a and end_b:
+                groups.append(f"{','.join(left)}|{','.join(right)}")
+                left, right = [], []
+        digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
+        held.append((links, len(a), len(b), len(groups), digest))
+        count.update(set(links))
+    most = collections.Counter()
+    for (a, _), n in count.items():
+        most[a] = max(most[a], n)
+    return [
+        (
+            n_a, n_b, groups, len(links),
+            sum(count[link] == most[link[0]] for link in links),
+            sum(count[link] for link in links),
+            digest,
+        )
+        for links, n_a, n_b, groups, digest in held
+    ]
+
+
+def test_query(spark, tables, libraries):
+    docs = queries.documents(spark, tables).select("doc_id", "text").collect()
+    expected = of_texts([row["text"] for row in docs], libraries)
+    got = {r["doc_id"]: tuple(r[c] for c in COLUMNS)
+           for r in queries.tokenizer_alignment(spark, tables).collect()}
+    assert got == {row["doc_id"]: values for row, values in zip(docs, expected)}
+
+
+def test_counts_too_large_to_broadcast(spark, tables, paths):
+    docs = queries.documents(spark, tables)
+    one = align_tokenizers(docs, *paths)
+    for limit in (0, 2000):
+        other = align_tokenizers(docs, *paths, limit=limit)
+        assert one.documents.exceptAll(other.documents).isEmpty()
+        assert other.documents.count() == one.documents.count()
+
+
+def test_links_are_a_dictionary(spark, paths, libraries):
+    docs = spark.createDataFrame([(1, "no no yes"), (2, "no")], "doc_id long, text string")
+    links = align_tokenizers(docs, *paths).links.collect()
+    no = libraries[0].encode(" no", add_special_tokens=False).ids, libraries[1].encode("no")
+    assert len(no[0]) == len(no[1]) == 1
+    found = {(r["a"], r["b"]): (r["n"], r["best"]) for r in links}
+    assert found[no[0][0], no[1][0]] == (2, True) and len(found) == 2
+
+
+def test_windows():
+    window = align([1, 2, 3], [7, 8], [2, 4, 6], [3, 6])
+    assert (window.groups, window.text) == (1, "1,2,3|7,8")
+    assert [(p >> 32, p & 0xFFFFFFFF) for p in window.pairs] == [(1, 7), (2, 7), (2, 8), (3, 8)]
+    window = align([1, 2], [7, 8], [2, 4], [2, 4])
+    assert (window.groups, window.links, window.text) == (2, 2, "1|7;2|8")
+
+
+def test_coder_is_the_libraries(paths):
+    rng = random.Random(1)
+    parts = ["a", "B", " ", "  ", "\n", "'s", "1", "é", "J", "<|endoftext|>", "<s>", "▁", "日",
+             "\t", "\xa0", "\x1c", "...", "ñ", "<0x41>", "\x00"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(3000)]
+    coder = PairCoder(*paths, memo=50)
+    for some in (texts[:1500], texts[1500:]):
+        for text, got in zip(some, coder.codes(some)):
+            assert got == coder.by_library(text), text
+
+
+def test_odd_rows(spark, odd_docs, no_docs, paths, libraries):
+    extra = spark.createDataFrame(
+        [(6, "a ▁ b", "en", "a", 5, "x"), (7, "<|endoftext|> a", "en", "a", 5, "x")],
+        odd_docs.schema,
+    )
+    docs = odd_docs.unionByName(extra).withColumnRenamed("kept", "pairs")
+    rows = docs.select("doc_id", "text").collect()
+    expected = of_texts([row["text"] for row in rows], libraries)
+    got = align_tokenizers(docs, *paths).documents.collect()
+    key = lambda values: tuple(-1 if v is None else v for v in values)
+    assert sorted(key((r["doc_id"], *[r[c] for c in COLUMNS])) for r in got) == sorted(
+        key((row["doc_id"], *values)) for row, values in zip(rows, expected)
+    )
+    assert [r[c] for r in got if r["doc_id"] == 6 for c in COLUMNS] == [0] * 6 + [""]
+    none = align_tokenizers(no_docs, *paths)
+    assert none.documents.isEmpty() and none.links.isEmpty()
