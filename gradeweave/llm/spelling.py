@@ -287,7 +287,11 @@ def near_words(words: DataFrame, *, group: int = GROUP) -> DataFrame:
     rows = written(_halves(words), "halves")
     done: list[DataFrame] = []
     while True:
-        large = rows.groupBy(*_KEY).agg(F.count("*").alias("size")).where(F.col("size") > group)
+        # Words that differ in one letter only are few, and cutting would not part them.
+        sizes = rows.groupBy(*_KEY).agg(
+            F.count("*").alias("size"), F.max(F.length("rest")).alias("longest")
+        )
+        large = sizes.where((F.col("size") > group) & (F.col("longest") > 1))
         large = written(large.select(*_KEY), "large-groups")
         if large.isEmpty():
             done.append(rows)
