@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
-from functools import reduce
-from operator import and_
 from pathlib import Path
 
 import pyarrow as pa
@@ -31,6 +29,7 @@ from gradeweave.operators.grouping import (
     value_lists,
 )
 from gradeweave.operators.joins import equi_join, first_joined_row
+from gradeweave.operators.ranks import counts_by_rank
 from gradeweave.operators.rows import (
     keep_columns,
     preview,
@@ -43,11 +42,13 @@ from gradeweave.plans.averages import (
     average_of_course,
     average_of_only_offer,
     course_totals,
+    outcome_of_only_offer,
     passed,
     totals_of_students,
 )
 from gradeweave.plans.cdf import (
     cumulative_counts,
+    cumulative_counts_by_rank,
     cumulative_counts_on_grid,
     cumulative_counts_reduced,
 )
@@ -66,6 +67,7 @@ from gradeweave.sources.tables import (
     drop_header,
     drop_missing,
     first_line,
+    header_lines,
     parse_lines,
     read_lines,
     read_table,
@@ -79,9 +81,8 @@ from gradeweave.sources.tables import (
 try:
     import corpus_pipeline
     from gradeweave.llm import queries as corpus
-except ModuleNotFoundError as missing:
-    if not (missing.name or "").startswith(("corpus_pipeline", "gradeweave.llm")):
-        raise
+except ImportError:
+    # The package or a library it needs is not here.
     corpus = corpus_pipeline = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -89,6 +90,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 # A course with several offers in the period, and one with a single offer.
 MULTI = {"course_id": 60, "year": 2000, "quartile": 4}
 SINGLE = {"course_id": 9, "year": 2001, "quartile": 1}
+OUTCOMES = {"one": SINGLE, "several": MULTI, "none": {**MULTI, "year": 1900}}
 PERIOD = {"year": 1998, "quartile": 2}
 STUDENT = 3
 NO_STUDENT = -3
@@ -132,10 +134,18 @@ def _copy_of_registrations(spark: SparkSession, sf: str) -> str:
 
 def _scan_header_as_null(spark: SparkSession, sf: str) -> DataFrame:
     folder = _written_registrations(spark, sf)
-    rows = read_with_header_row(spark, folder, "CourseRegistrations", key_type=LongType())
-    # A header line is a row of nulls; there is one per part file, shown as one.
-    header = reduce(and_, [F.col(name).isNull() for name in rows.columns])
-    return rows.where(F.col("grade") >= 5).unionByName(rows.where(header).distinct())
+    rows = read_with_header_row(
+        spark, folder, "CourseRegistrations", key_type=LongType(), flagged=True
+    )
+    # There is one header line per part file, shown as one.
+    return rows.where(~F.col("header")).unionByName(rows.where("header").distinct())
+
+
+def _header_lines(spark: SparkSession, sf: str) -> DataFrame:
+    path = table_path(_written_registrations(spark, sf), "CourseRegistrations")
+    first = header_lines(spark, path)
+    # How many files there are is Spark's to choose.
+    return first.select("value").distinct()
 
 
 def _drop_header(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,6 +184,13 @@ def _avg_single_offer(which: dict[str, int]) -> Query:
     return run
 
 
+def _outcome_of(which: dict[str, int]) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return outcome_of_only_offer(offers(spark, sf), registrations(spark, sf), **which)
+
+    return run
+
+
 def _avg_by_offer(spark: SparkSession, sf: str) -> DataFrame:
     return average_by_offer(spark, offers(spark, sf), registrations(spark, sf), **PERIOD)
 
@@ -234,9 +251,13 @@ def _collect_grades(spark: SparkSession, sf: str) -> DataFrame:
     return _passed_lists(spark, sf).select("offer_id", "part", list_text().alias("grades"))
 
 
-def _collect_students(spark: SparkSession, sf: str) -> DataFrame:
-    lists = value_lists(registrations(spark, sf), "offer_id", "student_id")
-    return lists.select("offer_id", "part", list_text("values").alias("students"))
+def _collect_students(key: str, length: int) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        other = "student_id" if key == "offer_id" else "offer_id"
+        lists = value_lists(registrations(spark, sf), key, other, length=length)
+        return lists.select(key, "part", list_text("values").alias(f"{other.split('_')[0]}s"))
+
+    return run
 
 
 def _explode_grades(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,6 +269,7 @@ def queries() -> dict[str, Query]:
         "scan_table": _scan_table,
         "scan_points": _scan_points,
         "scan_header_as_null": _scan_header_as_null,
+        "header_lines": _header_lines,
         "drop_header": _drop_header,
         "split_cast": _split_cast,
         "tag_lines": _tag_lines,
@@ -268,12 +290,15 @@ def queries() -> dict[str, Query]:
         "avg_course_float": _avg_course(True),
         "avg_single_offer": _avg_single_offer(SINGLE),
         "avg_single_offer_rejected": _avg_single_offer(MULTI),
+        **{f"outcome_{name}": _outcome_of(which) for name, which in OUTCOMES.items()},
         "sum_count": lambda spark, sf: sum_count(registrations(spark, sf), "student_id"),
         "local_sum_count": _local_sum_count,
         "count_rows": lambda spark, sf: count_rows(passed(registrations(spark, sf))),
         "tagged_union": _tagged_union,
         "collect_grades": _collect_grades,
-        "collect_students": _collect_students,
+        "collect_students": _collect_students("offer_id", LIST_LENGTH),
+        "collect_students_in_parts": _collect_students("offer_id", 3),
+        "collect_offers_in_parts": _collect_students("student_id", 100),
         "explode_grades": _explode_grades,
         "grade_cdf": lambda spark, sf: cumulative_counts(
             registrations(spark, sf), points(spark, sf)
@@ -284,6 +309,12 @@ def queries() -> dict[str, Query]:
         "grade_cdf_grid": lambda spark, sf: cumulative_counts_on_grid(
             registrations(spark, sf), points(spark, sf)
         ),
+        "grade_cdf_rank": lambda spark, sf: cumulative_counts_by_rank(
+            registrations(spark, sf), point_rows(spark, sf)
+        ),
+        "later_offers": lambda spark, sf: counts_by_rank(
+            registrations(spark, sf), offers(spark, sf), "offer_id", "offer_id", ">"
+        ),
         "preview_rows": lambda spark, sf: preview(registrations(spark, sf).where(graded())),
         "sample_by_digest": lambda spark, sf: sample_by_digest(registrations(spark, sf)),
         "sample_rows": lambda spark, sf: sample_rows(registrations(spark, sf)),
@@ -360,6 +391,33 @@ def _averages_by_offer() -> str:
       GROUP BY r.offer_id"""
 
 
+def _lists(key: str, value: str, name: str, length: int) -> str:
+    return f"""
+      SELECT {key}, part, string_agg(CAST({value} AS VARCHAR), ',' ORDER BY {value}) AS {name}
+      FROM (SELECT {key}, {value}, (row_number() OVER (
+          PARTITION BY {key} ORDER BY {value}) - 1) // {length} AS part
+        FROM {_REGISTRATIONS})
+      GROUP BY {key}, part"""
+
+
+def _outcome(which: dict[str, int]) -> str:
+    chosen = (
+        f"(SELECT DISTINCT offer_id FROM {_OFFERS} WHERE course_id = {which['course_id']} "
+        f"AND yr = {which['year']} AND quartile = {which['quartile']})"
+    )
+    return f"""
+      SELECT CASE WHEN n_graded = 1 THEN 'one' WHEN n_graded > 1 THEN 'several offers'
+          WHEN n_offers > 0 THEN 'no passed grade' ELSE 'no offer' END AS outcome,
+        n_offers, n_graded,
+        CASE WHEN n_graded = 1 THEN offer_id END AS offer_id,
+        CASE WHEN n_graded = 1 THEN CAST(CAST(s AS FLOAT) / CAST(n AS FLOAT) AS FLOAT) END
+          AS average_grade
+      FROM (SELECT count(DISTINCT offer_id) AS n_graded, max(offer_id) AS offer_id,
+          sum(grade) AS s, count(*) AS n
+        FROM {_PASSED} WHERE offer_id IN {chosen})
+      CROSS JOIN (SELECT count(*) AS n_offers FROM {chosen})"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for every query but ``sample_rows``, whose rows are random."""
     student_list = ", ".join(f"({s})" for s in STUDENTS)
@@ -367,8 +425,12 @@ def oracle_sql() -> dict[str, str]:
         "scan_table": f"SELECT * FROM {_OFFERS}",
         "scan_points": f"SELECT * FROM {_POINT_ROWS}",
         "scan_header_as_null": f"""
-          SELECT * FROM {_REGISTRATIONS} WHERE grade >= 5
-          UNION ALL SELECT NULL, NULL, NULL""",
+          SELECT *, false AS header, CAST(NULL AS VARCHAR) AS malformed FROM {_REGISTRATIONS}
+          UNION ALL SELECT NULL, NULL, NULL, true, NULL""",
+        "header_lines": f"""
+          SELECT 'CourseRegistrations ' || CAST(count(*) AS VARCHAR)
+            || ':INT CourseOfferId,INT StudentRegistrationId,GRADE Grade' AS value
+          FROM {_REGISTRATIONS}""",
         "drop_header": f"""
           SELECT CAST(offer_id AS VARCHAR) || ',' || CAST(student_id AS VARCHAR) || ','
             || CAST(grade AS VARCHAR) AS value
@@ -402,6 +464,7 @@ def oracle_sql() -> dict[str, str]:
           {_course_rows(MULTI)} GROUP BY course_id""",
         "avg_single_offer": _only_offer(SINGLE),
         "avg_single_offer_rejected": _only_offer(MULTI),
+        **{f"outcome_{name}": _outcome(which) for name, which in OUTCOMES.items()},
         "sum_count": f"""
           SELECT student_id, CAST(sum(grade) AS BIGINT) AS s, count(grade) AS n
           FROM {_REGISTRATIONS} GROUP BY student_id""",
@@ -421,14 +484,21 @@ def oracle_sql() -> dict[str, str]:
               PARTITION BY offer_id ORDER BY grade) - 1) // {LIST_LENGTH} AS part
             FROM {_PASSED})
           GROUP BY offer_id, part""",
-        "collect_students": f"""
-          SELECT offer_id, CAST(0 AS BIGINT) AS part,
-            string_agg(CAST(student_id AS VARCHAR), ',' ORDER BY student_id) AS students
-          FROM {_REGISTRATIONS} GROUP BY offer_id""",
+        "collect_students": _lists("offer_id", "student_id", "students", LIST_LENGTH),
+        "collect_students_in_parts": _lists("offer_id", "student_id", "students", 3),
+        "collect_offers_in_parts": _lists("student_id", "offer_id", "offers", 100),
         "explode_grades": f"SELECT * FROM {_PASSED}",
         "grade_cdf": _cumulative(_POINTS),
         "grade_cdf_preagg": _cumulative(_POINT_ROWS),
         "grade_cdf_grid": _cumulative(_POINTS),
+        "grade_cdf_rank": _cumulative(_POINT_ROWS),
+        "later_offers": f"""
+          SELECT offer_id, CAST(total - upto AS BIGINT) AS n
+          FROM (SELECT offer_id, sum(c) OVER (ORDER BY offer_id) AS upto, sum(c) OVER () AS total
+            FROM (SELECT o.offer_id, count(r.offer_id) AS c
+              FROM {_OFFERS} o LEFT JOIN {_REGISTRATIONS} r ON r.offer_id = o.offer_id
+              GROUP BY o.offer_id))
+          WHERE total > upto""",
         "preview_rows": f"""
           SELECT * FROM {_REGISTRATIONS} WHERE grade IS NOT NULL
           ORDER BY offer_id, student_id, grade LIMIT 20""",

@@ -17,8 +17,17 @@ from pyspark.sql.types import LongType
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from gradeweave.operators.joins import first_joined_row
-from gradeweave.plans.averages import average_of_course, average_of_only_offer, course_report
-from gradeweave.plans.cdf import cumulative_counts, cumulative_counts_on_grid
+from gradeweave.plans.averages import (
+    average_of_course,
+    average_of_only_offer,
+    course_report,
+    outcome_of_only_offer,
+)
+from gradeweave.plans.cdf import (
+    cumulative_counts,
+    cumulative_counts_by_rank,
+    cumulative_counts_on_grid,
+)
 from gradeweave.plans.sqltext import average_by_offer, average_of_student
 from gradeweave.sources.tables import read_table
 
@@ -44,8 +53,13 @@ def _parser() -> argparse.ArgumentParser:
     of_course.add_argument("--message", action="store_true", help="as one line of text")
     of_course.add_argument("--single-precision", action="store_true")
     only_offer = queries.add_parser("average-of-only-offer", help="the same, if it is one offer")
+    only_offer.add_argument(
+        "--outcome", action="store_true", help="one row that also says why there is no average"
+    )
     counts = queries.add_parser("cumulative-counts", help="grades at or below each point")
-    counts.add_argument("--grid", action="store_true", help="join on a grid of cells")
+    how = counts.add_mutually_exclusive_group()
+    how.add_argument("--grid", action="store_true", help="join on a grid of cells")
+    how.add_argument("--rank", action="store_true", help="count by rank, without a join")
     for command in (by_offer, of_course, only_offer):
         command.add_argument("--year", type=int, required=True)
         command.add_argument("--quartile", type=int, required=True)
@@ -64,6 +78,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
     registrations = table(options.registrations)
     if options.query == "cumulative-counts":
         form = cumulative_counts_on_grid if options.grid else cumulative_counts
+        form = cumulative_counts_by_rank if options.rank else form
         return form(registrations, table("QuantilePoints"))
 
     offers = table("CourseOffers")
@@ -75,7 +90,8 @@ def run(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
     if options.query == "average-by-offer":
         return average_by_offer(spark, offers, registrations, **period)
     if options.query == "average-of-only-offer":
-        return average_of_only_offer(offers, registrations, course_id=options.course, **period)
+        form = outcome_of_only_offer if options.outcome else average_of_only_offer
+        return form(offers, registrations, course_id=options.course, **period)
     if options.message:
         return course_report(offers, registrations, course_id=options.course, **period)
     return average_of_course(

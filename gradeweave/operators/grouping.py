@@ -9,6 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeweave.operators.ranks import BLOCK_ROWS, running_sums
 from gradeweave.operators.sizes import BROADCAST_BYTES, fits_broadcast
 from gradeweave.sources.schemas import GRADES
 from gradeweave.sources.shared import written
@@ -93,36 +94,52 @@ def value_lists(
     *,
     length: int = LIST_LENGTH,
     limit: int = BROADCAST_BYTES,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """key, part, values: all non-null values of each key as arrays, for values of any domain.
-
-    Equal values of a key are counted before anything is collected. A key with up to ``length``
-    values has the one part 0, in ascending order. A longer one is cut into parts of about
-    ``length`` values by a hash, each ascending in itself, so that no task holds or sorts
-    a whole key; laid together, the parts are its whole list.
+    """key, part, values: all non-null values of each key, ascending, as arrays, for values of
+    any domain that can be ordered.
+
+    Part p holds the values of ranks p * ``length`` to (p + 1) * ``length`` - 1 of its key, at
+    every length of the list, so parts laid end to end are the whole list. Keys of up to
+    ``length`` values are collected in one shuffle. Of longer ones, of which there is at most one
+    in ``length`` rows, equal values are counted and ranked block by block, so that no task holds
+    or sorts a whole key; a value that fills several parts is written out by each of them.
     """
-    counted = written(
-        df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("times")),
-        "value-counts",
+    rows = df.where(F.col(value).isNotNull()).select(key, value)
+    total = rows.groupBy(key).agg(F.count("*").alias("total"))
+    long = written(
+        total.where(F.col("total") > length).select(F.col(key).alias("_long")), "long-keys"
     )
-    total = counted.groupBy(key).agg(F.sum("times").alias("total"))
-    # Of long keys there is at most one in ``length`` rows.
-    long = total.where(F.col("total") > length).select(
-        F.col(key).alias("long_key"), F.expr(f"(total - 1) div {length} + 1").alias("parts")
+    if long.isEmpty():
+        return _short_lists(rows, key, value)
+    hint = F.broadcast(long) if fits_broadcast(long, limit) else long
+    is_long = F.col(key).eqNullSafe(F.col("_long"))
+    short = _short_lists(rows.join(hint, is_long, "left_anti"), key, value)
+
+    counted = (
+        rows.join(hint, is_long, "left_semi")
+        .groupBy(key, value)
+        .agg(F.count("*").alias("times"))
     )
-    long = F.broadcast(long) if fits_broadcast(long, limit) else long
-    # A value that alone fills several parts comes in pieces.
-    pieces = counted.withColumn(
-        "piece", F.explode(F.expr(f"sequence(0L, (times - 1) div {length})"))
-    ).withColumn("times", F.least(F.col("times") - F.col("piece") * length, F.lit(length)))
-    part = F.pmod(F.xxhash64(value, "piece"), F.coalesce("parts", F.lit(1)))
-    collected = (
-        pieces.join(long, F.col(key).eqNullSafe(F.col("long_key")), "left")
-        .groupBy(key, part.alias("part"))
-        .agg(F.sort_array(F.collect_list(F.struct(value, "times"))).alias("runs"))
+    ranked = running_sums(counted, value, "times", by=[key], name="low", block_rows=block_rows)
+    low, high = F.col("low"), F.col("low") + F.col("times")
+    first = F.col("part") * length
+    shown = F.least(high, first + length) - F.greatest(low, first)
+    runs = (
+        ranked.withColumn(
+            "part", F.explode(F.expr(f"sequence(low div {length}, (low + times - 1) div {length})"))
+        )
+        .select(key, "part", F.struct(value, shown.cast("int").alias("times")).alias("run"))
+        .groupBy(key, "part")
+        .agg(F.sort_array(F.collect_list("run")).alias("runs"))
     )
-    repeated = F.transform("runs", lambda run: F.array_repeat(run[value], run["times"].cast("int")))
-    return collected.select(key, "part", F.flatten(repeated).alias("values"))
+    repeated = F.transform("runs", lambda run: F.array_repeat(run[value], run["times"]))
+    return short.unionByName(runs.select(key, "part", F.flatten(repeated).alias("values")))
+
+
+def _short_lists(rows: DataFrame, key: str, value: str) -> DataFrame:
+    lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("values"))
+    return lists.select(key, F.lit(0).cast("bigint").alias("part"), "values")
 
 
 def explode_lists(lists: DataFrame, key: str, value: str = "grade") -> DataFrame:

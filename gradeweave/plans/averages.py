@@ -94,8 +94,35 @@ def average_of_only_offer(
 ) -> DataFrame:
     """offer_id, average_grade (float) if exactly one matching offer has a passed grade.
 
-    With none or several such offers there is no row. A registration counts once, also when
-    its offer is listed repeatedly.
+    With none or several such offers there is no row; ``outcome_of_only_offer`` says which. A
+    registration counts once, also when its offer is listed repeatedly.
+    """
+    outcome = outcome_of_only_offer(
+        offers, registrations, course_id=course_id, year=year, quartile=quartile, limit=limit
+    )
+    return outcome.where(F.col("outcome") == ONE).select("offer_id", "average_grade")
+
+
+# What the search for the only offer can come to.
+ONE, NO_OFFER, UNGRADED, SEVERAL = "one", "no offer", "no passed grade", "several offers"
+
+
+def outcome_of_only_offer(
+    offers: DataFrame,
+    registrations: DataFrame,
+    *,
+    course_id: int,
+    year: int,
+    quartile: int,
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """One row: outcome, n_offers, n_graded, offer_id, average_grade (float).
+
+    ``n_offers`` counts the course's offers in the period, each once; ``n_graded`` those with a
+    passed grade. The outcome is ``one`` if just one has; else it says why there is no average:
+    ``no offer``, ``no passed grade`` or ``several offers``, and offer_id and average_grade are
+    null. The counts come out of the job that computes the average. A registration counts once,
+    also when its offer is listed repeatedly.
     """
     chosen = written(
         offers.where(given_in(course_id, year, quartile)).select("offer_id"), "chosen-offers"
@@ -107,15 +134,30 @@ def average_of_only_offer(
         per_offer = sum_count(passed(registrations), "offer_id").join(
             chosen.distinct(), "offer_id", "left_semi"
         )
+    counted = per_offer.agg(
+        F.max("offer_id").alias("offer_id"),
+        F.sum("s").alias("s"),
+        F.sum("n").alias("n"),
+        F.count("*").alias("n_graded"),
+    )
+    listed = chosen.agg(F.countDistinct("offer_id")).scalar().alias("n_offers")
+    outcome = (
+        F.when(F.col("n_graded") == 1, ONE)
+        .when(F.col("n_graded") > 1, SEVERAL)
+        .when(F.col("n_offers") > 0, UNGRADED)
+        .otherwise(NO_OFFER)
+    )
+    only = F.col("outcome") == ONE
     return (
-        per_offer.agg(
-            F.max("offer_id").alias("offer_id"),
-            F.sum("s").alias("s"),
-            F.sum("n").alias("n"),
-            F.count("*").alias("groups"),
+        counted.select("*", listed)
+        .withColumn("outcome", outcome)
+        .select(
+            "outcome",
+            "n_offers",
+            "n_graded",
+            F.when(only, F.col("offer_id")).alias("offer_id"),
+            F.when(only, average_float(F.col("s"), F.col("n"))).alias("average_grade"),
         )
-        .where(F.col("groups") == 1)
-        .select("offer_id", average_float(F.col("s"), F.col("n")).alias("average_grade"))
     )
 
 

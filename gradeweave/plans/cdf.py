@@ -1,9 +1,10 @@
 """Cumulative grade counts: for each quantile point q, the grades at or below q.
 
 All non-null grades count. A point below every grade has no row; equal points multiply the
-count. The three forms give the same rows. Each starts from the count per distinct grade,
+count. The forms give the same rows. The first three start from the count per distinct grade,
 so that no pair of a registration with a point is ever built. The counts are written, so
-that planning the join by their size does not read the registrations twice.
+that planning the join by their size does not read the registrations twice. The last form
+counts by rank, for grades and points of any number of values.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.functions.grades import graded
+from gradeweave.operators.ranks import counts_by_rank
 from gradeweave.operators.theta import GRID, grid_join, theta_join
 from gradeweave.sources.shared import written
 
@@ -64,3 +66,8 @@ def cumulative_counts_on_grid(
         seed=seed,
     )
     return _sorted_counts(pairs, "sum(c * times)")
+
+
+def cumulative_counts_by_rank(registrations: DataFrame, points: DataFrame) -> DataFrame:
+    """q, n from one sorted sequence of the grades and points, without a join of the two."""
+    return counts_by_rank(registrations, points, "grade", "q").orderBy("q")

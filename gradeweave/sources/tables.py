@@ -8,15 +8,17 @@ the rest strictly. Part files may have a header each, or only the first of them,
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType, StructType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from gradeweave.sources.schemas import MISSING, TABLES, header_cells, table_schema
 
 
+_UNREAD = "_unread"
+
+
 def table_path(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{TABLES[name].file}"
 
@@ -36,20 +38,38 @@ def read_table(
 
 
 def read_with_header_row(
-    spark: SparkSession, folder: str, name: str, *, key_type: DataType | None = None
+    spark: SparkSession,
+    folder: str,
+    name: str,
+    *,
+    key_type: DataType | None = None,
+    flagged: bool = False,
 ) -> DataFrame:
     """Lenient scan that keeps each header line as a row of nulls.
 
     Such rows have no key, so an inner join or a filter removes them; row counts taken
-    before that include them.
+    before that include them. ``flagged`` adds two columns: ``header`` (the line starts with the
+    table's name) and ``malformed``, the text of any other line that has a cell of the wrong
+    type or a wrong number of cells, else null. So rows of nulls that were written as such can be
+    told from lines that could not be read.
     """
-    return (
-        spark.read.schema(table_schema(name, key_type))
-        .option("header", False)
+    schema = table_schema(name, key_type)
+    lines = (
+        spark.read.option("header", False)
         .option("nullValue", MISSING)
         .option("quote", "")
         .option("mode", "PERMISSIVE")
-        .csv(table_path(folder, name))
+    )
+    if not flagged:
+        return lines.schema(schema).csv(table_path(folder, name))
+    kept = StructType([*schema.fields, StructField(_UNREAD, StringType(), True)])
+    rows = lines.schema(kept).option("columnNameOfCorruptRecord", _UNREAD)
+    unread = F.col(_UNREAD)
+    header = F.coalesce(F.startswith(unread, F.lit(name)), F.lit(False))
+    return rows.csv(table_path(folder, name)).select(
+        *schema.names,
+        header.alias("header"),
+        F.when(~header, unread).alias("malformed"),
     )
 
 
@@ -62,13 +82,42 @@ def first_line(spark: SparkSession, path: str) -> str | None:
     """The first line of the first non-empty file, in order of file name.
 
     Spark packs large files first, so the first row of the whole folder need not be the
-    header; hence one small read of the first file.
+    header. The least name of a file with content is found from the files' metadata in one
+    aggregate, without reading them and without a list of them on the driver; that file alone
+    is then read, up to its first line. A compressed file may be empty all the same, so the
+    next one may follow.
     """
-    for file in sorted(spark.read.text(path).inputFiles()):
-        row = spark.read.text(unquote(file)).first()
+    names = spark.read.format("binaryFile").load(path)
+    names = names.select("_metadata.file_path", "_metadata.file_size").where("file_size > 0")
+    passed = ""
+    while True:
+        least = names.where(F.col("file_path") > passed).agg(F.min("file_path")).first()[0]
+        if least is None:
+            return None
+        lines = spark.read.text(path).where(
+            (F.col("_metadata.file_path") == least) & (F.col("_metadata.file_block_start") == 0)
+        )
+        row = lines.select("value").first()
         if row is not None:
             return row["value"]
-    return None
+        passed = least
+
+
+def header_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, value: the first line of each non-empty file, found in the tasks that read it.
+
+    Only a file's first block is looked at, so a large file is not read whole. ``file`` is its
+    address as Spark gives it.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+        "value",
+    )
+    # Within the task that reads a block, rows are numbered in order.
+    first = lines.where(F.col("start") == 0).groupBy("file")
+    return first.agg(F.min_by("value", "row").alias("value"))
 
 
 def drop_header(lines: DataFrame, header: str | None) -> DataFrame:

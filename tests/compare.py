@@ -17,6 +17,7 @@ TYPE_NAMES = {
     "double": "DOUBLE",
     "float": "FLOAT",
     "string": "VARCHAR",
+    "boolean": "BOOLEAN",
 }
 
 

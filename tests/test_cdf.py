@@ -5,11 +5,17 @@ from conftest import REGISTRATIONS
 
 from gradeweave.plans.cdf import (
     cumulative_counts,
+    cumulative_counts_by_rank,
     cumulative_counts_on_grid,
     cumulative_counts_reduced,
 )
 
-FORMS = [cumulative_counts, cumulative_counts_reduced, cumulative_counts_on_grid]
+FORMS = [
+    cumulative_counts,
+    cumulative_counts_reduced,
+    cumulative_counts_on_grid,
+    cumulative_counts_by_rank,
+]
 
 
 def expected(points):

@@ -39,6 +39,25 @@ CASES = [
         ["average-of-only-offer", "--course", "20", "--year", "2017", "--quartile", "1"],
         [["4", "10.0"]],
     ),
+    (
+        ["average-of-only-offer", "--outcome", "--course", "10", *PERIOD],
+        [["several offers", "2", "2", "NULL", "NULL"]],
+    ),
+    (
+        ["average-of-only-offer", "--outcome", "--course", "20", *PERIOD],
+        [["no passed grade", "1", "0", "NULL", "NULL"]],
+    ),
+    (
+        ["average-of-only-offer", "--outcome", "--course", "30", *PERIOD],
+        [["no offer", "0", "0", "NULL", "NULL"]],
+    ),
+    (
+        ["average-of-only-offer", "--outcome", "--course", "20", "--year", "2017",
+         "--quartile", "1"],
+        [["one", "1", "1", "4", "10.0"]],
+    ),
+    (["cumulative-counts", "--rank"], [[str(q), str(n)] for q, n in
+        [(4, 1), (5, 3), (6, 3), (7, 4), (8, 5), (9, 6), (10, 7)]]),
     (["cumulative-counts"], [[str(q), str(n)] for q, n in
         [(4, 1), (5, 3), (6, 3), (7, 4), (8, 5), (9, 6), (10, 7)]]),
     (["cumulative-counts", "--grid"], [[str(q), str(n)] for q, n in

@@ -1,8 +1,12 @@
 """Table files: headers, missing cells, malformed cells."""
 
+import gzip
+from urllib.parse import unquote
+
 import pytest
 from compare import rows_of
 from conftest import REGISTRATIONS
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -13,6 +17,7 @@ from gradeweave.sources.tables import (
     drop_header,
     drop_missing,
     first_line,
+    header_lines,
     parse_lines,
     read_lines,
     read_table,
@@ -75,6 +80,22 @@ def test_lenient_scan_keeps_the_header_as_nulls(spark, tmp_path):
     assert tuple(rows[0]) == (None, None, None)
 
 
+def test_lenient_scan_tells_headers_from_malformed_lines(spark, tmp_path):
+    lines = [HEADER, "1,2,3", "null,null,null", "4,x,5", "6,7", "8,9,10,11"]
+    folder = write(tmp_path, "CourseRegistrations", lines)
+    rows = read_with_header_row(spark, folder, "CourseRegistrations", flagged=True)
+    assert rows.columns == ["offer_id", "student_id", "grade", "header", "malformed"]
+    found = [tuple(row) for row in rows.collect()]
+    assert found == [
+        (None, None, None, True, None),
+        (1, 2, 3, False, None),
+        (None, None, None, False, None),
+        (4, None, 5, False, "4,x,5"),
+        (6, 7, None, False, "6,7"),
+        (8, 9, 10, False, "8,9,10,11"),
+    ]
+
+
 def test_lenient_scan_gives_the_same_join(spark, tmp_path, offers):
     folder = write(tmp_path, "CourseRegistrations", [HEADER, *BODY])
     lenient = read_with_header_row(spark, folder, "CourseRegistrations")
@@ -113,6 +134,18 @@ def test_first_line_passes_over_empty_files(spark, tmp_path):
     assert first_line(spark, str(tmp_path)) == "head"
 
 
+def test_first_line_of_odd_files(spark, tmp_path, monkeypatch):
+    with gzip.open(tmp_path / "a.gz", "wt"):
+        pass  # no line, though not of size 0
+    (tmp_path / "b c%20d").write_text("\nsecond\n")
+    (tmp_path / "c").write_text("third\n" * 5000)
+    monkeypatch.setattr(DataFrame, "inputFiles", None)
+    assert first_line(spark, str(tmp_path)) == ""
+    found = {unquote(row["file"]).split("/")[-1]: row["value"]
+             for row in header_lines(spark, str(tmp_path)).collect()}
+    assert found == {"b c%20d": "", "c": "third"}
+
+
 def test_first_line_of_nothing(spark, tmp_path):
     (tmp_path / "a").write_text("")
     assert first_line(spark, str(tmp_path)) is None
