@@ -209,17 +209,58 @@ def repeated(
 ) -> DataFrame:
     """The training stream: each document as often as it is taken, in order of position.
 
-    ``docs`` has one row per doc_id, of which one may be null; its columns are kept, and
-    ``position`` is added.
+    The columns of ``docs`` are kept, and ``position`` is added. ``plan`` is what ``planned`` gave
+    for ``docs``, with one row for each of its rows. Where rows share a doc_id (or have none),
+    those of one size are numbered in both, and each row takes the times of one row of the plan,
+    so a row comes as often as planned and no more.
     """
-    times = plan.select(
-        F.col("doc_id").alias("planned_id"), F.explode("positions").alias("position")
+    taken = plan.where(F.size("positions") > 0).select("doc_id", "size", "positions")
+    shared = written(
+        plan.groupBy(F.col("doc_id").alias("shared_id"))
+        .agg(F.count("*").alias("rows"))
+        .where(F.col("rows") > 1)
+        .select("shared_id"),
+        "shared-ids",
+    )
+    if shared.isEmpty():
+        return _by_position(_timed(docs, taken, [], limit))
+    hint = F.broadcast(shared) if fits_broadcast(shared, limit) else shared
+    of_shared = F.col("doc_id").eqNullSafe(F.col("shared_id"))
+    alone = _timed(
+        docs.join(hint, of_shared, "left_anti"), taken.join(hint, of_shared, "left_anti"), [], limit
+    )
+    # Rows that are never taken are numbered too; they come last on the side of the plan.
+    of_size = Window.partitionBy("doc_id", "_size")
+    rows = docs.join(hint, of_shared, "left_semi").withColumn("_size", word_count("text"))
+    rows = rows.withColumn(
+        "_number", F.row_number().over(of_size.orderBy(F.xxhash64("text"), "source"))
+    )
+    several = (
+        plan.join(hint, of_shared, "left_semi")
+        .select("doc_id", F.col("size").alias("_size"), "positions")
+        .withColumn("_number", F.row_number().over(of_size.orderBy(F.desc(F.size("positions")),
+                                                                   "positions")))
+        .where(F.size("positions") > 0)
+    )
+    numbered = _timed(rows, several, ["_size", "_number"], limit)
+    return _by_position(alone.unionByName(numbered.drop("_size", "_number")))
+
+
+def _timed(docs: DataFrame, plan: DataFrame, also: list[str], limit: int) -> DataFrame:
+    """Each document with each of its positions, by doc_id (null too) and the other columns."""
+    keys = ["doc_id", *also]
+    times = written(
+        plan.select(
+            *[F.col(key).alias(f"_of_{key}") for key in keys],
+            F.explode("positions").alias("position"),
+        ),
+        "times",
     )
-    times = written(times, "times")
     if fits_broadcast(times, limit):
         times = F.broadcast(times)
-    return (
-        docs.join(times, F.col("doc_id").eqNullSafe(F.col("planned_id")))
-        .drop("planned_id")
-        .orderBy("position", "doc_id")
-    )
+    on = [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys]
+    return docs.join(times, on).drop(*[f"_of_{key}" for key in keys])
+
+
+def _by_position(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("position", "doc_id")

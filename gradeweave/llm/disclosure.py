@@ -20,10 +20,12 @@ from gradeweave.operators.sizes import BROADCAST_BYTES, fits_broadcast
 from gradeweave.sources.shared import written
 
 # Patterns of the base kinds (fixed values). Groups that nothing follows are possessive, so
-# that a long match needs no stack; the matches are the same.
+# that a long match needs no stack. A match that could begin within a run could begin with the run
+# too, unless the match before ended there; so runs are tried from their starts alone, and a long
+# one without an end costs one try. The matches are the same.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
-    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -43,29 +45,54 @@ GENERALISE = 0.8
 REMOVE = 0.95
 
 
+# Elements that are folded into one array or text before these are put together: a fold copies
+# what it has for each element, which for a long list would be its square.
+_FOLDED = 64
+
+
+def _firsts(n: Column) -> Column:
+    """The first numbers of the blocks that 0 to n - 1 are folded in."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(_FOLDED))).otherwise(
+        F.array().cast("array<int>")
+    )
+
+
 def matches(text: Column, pattern: str) -> Column:
     """start, end (code points, end exclusive) and value of each leftmost match."""
+    kind = "array<struct<start:int,end:int,value:string>>"
 
     def located(found: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-
-        def step(state: Column, i: Column) -> Column:
-            start = state["at"] + F.char_length(F.get(state["gaps"], i))
-            end = start + F.char_length(F.get(found, i))
-            span = F.struct(
-                start.alias("start"), end.alias("end"), F.get(found, i).alias("value")
+        def among(gaps: Column) -> Column:
+            def add(state: Column, i: Column) -> Column:
+                start = state["at"] + F.char_length(F.get(gaps, i))
+                end = start + F.char_length(F.get(found, i))
+                span = F.struct(
+                    start.alias("start"), end.alias("end"), F.get(found, i).alias("value")
+                )
+                return F.struct(
+                    end.alias("at"), F.concat(state["out"], F.array(span)).alias("out")
+                )
+
+            def block(state: Column, first: Column) -> Column:
+                numbers = F.sequence(first, F.least(first + _FOLDED, F.size(found)) - 1)
+                begin = F.struct(state["at"].alias("at"), F.array().cast(kind).alias("out"))
+                return bound(
+                    F.aggregate(numbers, begin, add),
+                    lambda new: F.struct(
+                        new["at"].alias("at"),
+                        F.concat(state["outs"], F.array(new["out"])).alias("outs"),
+                    ),
+                )
+
+            begin = F.struct(
+                F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("outs")
             )
-            return F.struct(
-                end.alias("at"), state["gaps"].alias("gaps"),
-                F.concat(state["out"], F.array(span)).alias("out"),
-            )
-
-        none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-        first = F.struct(F.lit(0).alias("at"), gaps.alias("gaps"), none.alias("out"))
-        walked = F.aggregate(
-            F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda state: state["out"]
+            walked = F.aggregate(_firsts(F.size(found)), begin, block)
+            return F.flatten(walked["outs"])
+
+        return F.when(F.size(found) > 0, bound(F.split(text, pattern, -1), among)).otherwise(
+            F.array().cast(kind)
         )
-        return F.when(F.size(found) > 0, walked).otherwise(none)
 
     return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
 
@@ -306,22 +333,47 @@ def replaced(spans: Column) -> Column:
     Spans that overlap become one, under the label of the first.
     """
 
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substr("text", state["at"] + 1, span["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(span["start"] < state["at"], state["out"])
-            .otherwise(F.concat(state["out"], gap, span["label"]))
-            .alias("out"),
+    def put(ordered: Column) -> Column:
+        def block(state: Column, first: Column) -> Column:
+            some = F.slice(ordered, first + 1, F.lit(_FOLDED))
+            end = F.greatest(state["at"], F.array_max(F.transform(some, lambda s: s["end"])))
+
+            # Code points are counted from a text's start, so the gaps of a block are cut from
+            # the stretch of text that it lies in.
+            def within(stretch: Column) -> Column:
+                def add(inner: Column, span: Column) -> Column:
+                    gap = F.substr(
+                        stretch, inner["at"] - state["at"] + 1, span["start"] - inner["at"]
+                    )
+                    return F.struct(
+                        F.greatest(inner["at"], span["end"]).alias("at"),
+                        F.when(span["start"] < inner["at"], inner["out"])
+                        .otherwise(F.concat(inner["out"], gap, span["label"]))
+                        .alias("out"),
+                    )
+
+                begin = F.struct(state["at"].alias("at"), F.lit("").alias("out"))
+                return F.aggregate(some, begin, add)
+
+            stretch = F.substr("text", state["at"] + 1, end - state["at"])
+            return bound(
+                bound(stretch, within),
+                lambda new: F.struct(
+                    new["at"].alias("at"),
+                    F.concat(state["outs"], F.array(new["out"])).alias("outs"),
+                ),
+            )
+
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("outs"))
+        return bound(
+            F.aggregate(_firsts(F.size(ordered)), begin, block),
+            lambda walked: F.concat(
+                F.array_join(walked["outs"], ""),
+                F.substr("text", walked["at"] + 1, F.char_length("text")),
+            ),
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(
-        F.array_sort(spans),
-        start,
-        step,
-        lambda state: F.concat(state["out"], F.substr("text", state["at"] + 1, F.char_length("text"))),
-    )
+    return bound(F.array_sort(spans), put)
 
 
 def sanitised() -> Column:

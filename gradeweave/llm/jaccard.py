@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.llm.components import components
-from gradeweave.llm.text import batches, distinct, hashes, lowered, shingles, words
+from gradeweave.llm.text import batches, digests, distinct, lowered, shingles, words
 from gradeweave.operators.sizes import BROADCAST_BYTES, fits_broadcast
 from gradeweave.sources.shared import written
 
@@ -48,7 +48,7 @@ def token_sets(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
     for batch in batches(column):
         batch = batch._replace(data=lowered(batch.data))
         found = words(batch)
-        yield distinct(*shingles(hashes(batch.data, found.start, found.end), found, k))
+        yield distinct(*shingles(digests(batch.data, found.start, found.end), found, k))
 
 
 def counter_of(tokens: np.ndarray) -> np.ndarray:
@@ -88,12 +88,12 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     return tokens[order[: n - needed(n, percent) + 1]]
 
 
-def name_of(tokens: np.ndarray) -> int:
-    """A 64-bit name of a set of tokens."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def name_of(tokens: np.ndarray) -> bytes:
+    """A 128-bit name of a set of tokens: sets of one name are taken for the same."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-_SIGNED = "doc_id bigint, text_key bigint, name bigint, n bigint, prefix array<bigint>"
+_SIGNED = "doc_id bigint, text_key bigint, name binary, n bigint, prefix array<bigint>"
 
 
 def signed(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
@@ -102,7 +102,7 @@ def signed(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFra
     empty."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met: set[bytes] = set()
         for batch in batches_:
             names, sizes, prefixes = [], [], []
             for sets in token_sets(batch.column("text"), k):
@@ -115,7 +115,7 @@ def signed(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFra
                     if new:
                         met.add(name)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(names, pa.int64()),
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(names, pa.binary()),
                  pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
                 ["doc_id", "text_key", "name", "n", "prefix"],
             )
@@ -140,14 +140,14 @@ def whole_sets(docs: DataFrame, named: DataFrame, k: int, limit: int) -> DataFra
         for batch in batches_:
             found = [t for sets in token_sets(batch.column("text"), k) for t in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name_of(t) for t in found], pa.int64()),
+                [pa.array([name_of(t) for t in found], pa.binary()),
                  pa.array([t.tobytes() for t in found], pa.binary())],
                 ["name", "tokens"],
             )
 
     wanted = few_or_many(named.select(F.col("doc_id").alias("of_id"), F.col("name").alias("of")), limit)
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(run, "name bigint, tokens binary")
+    sets = texts.mapInArrow(run, "name binary, tokens binary")
     sets = sets.join(wanted, F.col("name") == F.col("of"), "left_semi")
     return written(sets.dropDuplicates(["name"]), "sets")
 
@@ -193,12 +193,12 @@ def _tokens(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint64)
 
 
-_LINK = "a bigint, b bigint"
+_LINK = "a binary, b binary"
 
 
-def _link_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+def _link_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     columns = zip(*pairs) if pairs else ([], [])
-    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in columns], ["a", "b"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

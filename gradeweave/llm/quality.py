@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.llm.samples import bounded_sample, remainder, texts_of
-from gradeweave.llm.text import Batch, batches, hashes, mix, separators, words
+from gradeweave.llm.text import Batch, batches, digests, mix, separators, words
 
 # Base rule: fewer words, or a larger percentage of repeated ones, and a text fails.
 LEAST_WORDS = 20
@@ -85,7 +85,7 @@ def measure(batch: Batch) -> Base:
     space = separators(data)
     found = words(batch, space)
     n_words = np.diff(found.first)
-    hashed = hashes(data, found.start, found.end)
+    hashed = digests(data, found.start, found.end)
     text_of = np.repeat(np.arange(texts), n_words)
     begins = (data & 0xC0) != 0x80
     symbol = _SYMBOL[data]
@@ -118,7 +118,7 @@ def measure(batch: Batch) -> Base:
     first_word, after_word = first_word[worded], after_word[worded]
     line_text = text_of[first_word]
     line_words = after_word - first_word
-    again = _seen_before(_within(hashes(data, start, end), line_text))
+    again = _seen_before(_within(digests(data, start, end), line_text))
 
     line_of = np.repeat(np.arange(len(start)), line_words)
     new_word = ~_seen_before(_within(hashed, line_of)) if len(hashed) else np.zeros(0, bool)

@@ -6,6 +6,7 @@ feed and carriage return. All of these are single bytes in UTF-8, so words are f
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -116,13 +117,42 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes; equal stretches have equal hashes."""
+    """A 64-bit feature hash of each stretch of bytes; see ``digests``."""
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+# Bytes up to which a stretch is hashed eight at a time; longer ones one by one.
+_SHORT = 32
+
+# What stays of eight bytes of which the first so many are in a stretch.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes, with no structure that texts could hit upon.
+
+    Unlike ``hashes``, which adds up bytes times powers and so gives some patterned stretches one
+    value, this mixes after every eight bytes, and takes BLAKE2 for long stretches. It is for
+    telling stretches apart; ``hashes`` is for features, where a collision does no harm.
+    """
+    length = end - start
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    value = mix(length.astype(np.uint64) * _BASE)
+    for at in range(0, _SHORT, 8):
+        some = np.flatnonzero((length > at) & (length <= _SHORT))
+        block = eights[start[some] + at] & _FIRST[np.minimum(length[some] - at, 8)]
+        value[some] = mix((value[some] ^ block) * _BASE)
+    whole = data.tobytes()
+    for i in np.flatnonzero(length > _SHORT).tolist():
+        digest = hashlib.blake2b(whole[start[i] : end[i]], digest_size=8).digest()
+        value[i] = int.from_bytes(digest, "little")
+    return value
+
+
 def shingles(hashed: np.ndarray, found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of each text, and the bounds of each text's shingles.
 
