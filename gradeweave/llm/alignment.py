@@ -23,8 +23,8 @@ from gradeweave.operators.sizes import BROADCAST_BYTES, fits_broadcast
 from gradeweave.sources.shared import written
 
 # Chunks and windows kept per worker.
-MEMO = 300_000
-WINDOWS = 200_000
+MEMO = 500_000
+WINDOWS = 400_000
 
 # Documents aligned at a time.
 _DOCS = 100
@@ -41,26 +41,29 @@ class Window(NamedTuple):
 
 
 def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> Window:
-    """The groups and links of one window, whose tokens end at these bytes; both sides end at
-    the same one. A token of no byte is linked with nothing and joins the group it stands in."""
+    """The groups and links of one window, whose tokens end at these bytes, counted from any
+    one place; both sides end at the same one. Every token has a byte at least."""
     groups, pairs = [], []
-    i = j = first_a = first_b = start_a = start_b = 0
-    while i < len(a) and j < len(b):
+    names_a, names_b = list(map(str, a)), list(map(str, b))
+    i = j = first_a = first_b = 0
+    last = len(a) - 1
+    left, end_a, end_b = a[0] << _SHIFT, ends_a[0], ends_b[0]
+    while True:
         # Both tokens reach over bytes of each other, for the earlier ones have been passed.
-        if min(ends_a[i], ends_b[j]) > max(start_a, start_b):
-            pairs.append(a[i] << _SHIFT | b[j])
-        end_a, end_b = ends_a[i], ends_b[j]
-        if end_a <= end_b:
-            i, start_a = i + 1, end_a
-        if end_b <= end_a:
-            j, start_b = j + 1, end_b
+        pairs.append(left | b[j])
+        if end_a > end_b:
+            j += 1
+            end_b = ends_b[j]
+            continue
         if end_a == end_b:
-            groups.append((a[first_a:i], b[first_b:j]))
-            first_a, first_b = i, j
-    text = ";".join(
-        f"{','.join(map(str, left))}|{','.join(map(str, right))}" for left, right in groups
-    )
-    return Window(len(groups), len(pairs), text, tuple(pairs))
+            j += 1
+            groups.append(f"{','.join(names_a[first_a : i + 1])}|{','.join(names_b[first_b:j])}")
+            if i == last:
+                break
+            first_a, first_b, end_b = i + 1, j, ends_b[j]
+        i += 1
+        left, end_a = a[i] << _SHIFT, ends_a[i]
+    return Window(len(groups), len(pairs), ";".join(groups), tuple(pairs))
 
 
 class Aligner:
@@ -86,33 +89,40 @@ class Aligner:
         # Tokens after which the text is cut: the next one of both is marked by a space.
         cut_a = np.flatnonzero(self.spaced_a[a[1:]])
         cut_b = np.flatnonzero(self.spaced_b[b[1:]])
-        _, at_a, at_b = np.intersect1d(
-            ends_a[cut_a], ends_b[cut_b], assume_unique=True, return_indices=True
-        )
-        from_a = [0, *(cut_a[at_a] + 1).tolist(), len(a)]
-        from_b = [0, *(cut_b[at_b] + 1).tolist(), len(b)]
+        at_a, at_b = ends_a[cut_a], ends_b[cut_b]
+        place = np.searchsorted(at_b, at_a)
+        both = np.flatnonzero(np.append(at_b, -1)[place] == at_a)
+        to_a = [*(cut_a[both] + 1).tolist(), len(a)]
+        to_b = [*(cut_b[place[both]] + 1).tolist(), len(b)]
         code_a, code_b = ids
+        keys, i, j = [], 0, 0
+        for m, n in zip(to_a, to_b):
+            keys.append((code_a[4 * i : 4 * m], code_b[4 * j : 4 * n]))
+            i, j = m, n
         if len(self.windows) > self.memo:
             self.windows.clear()
-        get, found = self.windows.get, []
-        for k in range(len(from_a) - 1):
-            i, m, j, n = from_a[k], from_a[k + 1], from_b[k], from_b[k + 1]
-            key = code_a[4 * i : 4 * m], code_b[4 * j : 4 * n]
-            window = get(key)
-            if window is None:
-                start = int(ends_a[i - 1]) if i else 0
-                window = self.windows[key] = align(
-                    a[i:m].tolist(),
-                    b[j:n].tolist(),
-                    (ends_a[i:m] - start).tolist(),
-                    (ends_b[j:n] - start).tolist(),
-                )
-            found.append(window)
-        digest = hashlib.sha256(";".join([w.text for w in found]).encode()).hexdigest()
-        groups = sum([w.groups for w in found])
-        pairs = [pair for w in found for pair in w.pairs]
+        found = list(map(self.windows.get, keys))
+        if None in found:
+            self._learn(found, keys, (a, b, ends_a, ends_b), (to_a, to_b))
+        digest = hashlib.sha256(";".join([w[2] for w in found]).encode()).hexdigest()
+        groups = sum([w[0] for w in found])
+        pairs = [pair for w in found for pair in w[3]]
         return len(a), len(b), groups, len(pairs), digest, pairs
 
+    def _learn(self, found: list, keys: list, tokens: tuple, to: tuple) -> None:
+        """Align the windows of a text that are not known yet."""
+        a, b, ends_a, ends_b = (x.tolist() for x in tokens)
+        to_a, to_b = to
+        for k, window in enumerate(found):
+            if window is None:
+                i, m = to_a[k - 1] if k else 0, to_a[k]
+                j, n = to_b[k - 1] if k else 0, to_b[k]
+                window = self.windows.get(keys[k])
+                if window is None:
+                    window = align(a[i:m], b[j:n], ends_a[i:m], ends_b[j:n])
+                    self.windows[keys[k]] = window
+                found[k] = window
+
 
 _ALIGNED = (
     "key bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
