@@ -10,6 +10,7 @@ their id tuples. Links of token ids are counted per document first, then over do
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,8 +24,8 @@ from gradeweave.operators.sizes import BROADCAST_BYTES, fits_broadcast
 from gradeweave.sources.shared import written
 
 # Chunks and windows kept per worker.
-MEMO = 500_000
-WINDOWS = 400_000
+MEMO = 600_000
+WINDOWS = 500_000
 
 # Documents aligned at a time.
 _DOCS = 100
@@ -37,7 +38,7 @@ class Window(NamedTuple):
     groups: int
     links: int
     text: str  # the groups, a1,a2|b1;a3|b2
-    pairs: tuple[int, ...]  # one for each link
+    pairs: bytes  # one 64-bit number for each link
 
 
 def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> Window:
@@ -63,7 +64,7 @@ def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> W
             first_a, first_b, end_b = i + 1, j, ends_b[j]
         i += 1
         left, end_a = a[i] << _SHIFT, ends_a[i]
-    return Window(len(groups), len(pairs), ";".join(groups), tuple(pairs))
+    return Window(len(groups), len(pairs), ";".join(groups), array("q", pairs).tobytes())
 
 
 class Aligner:
@@ -106,8 +107,8 @@ class Aligner:
             self._learn(found, keys, (a, b, ends_a, ends_b), (to_a, to_b))
         digest = hashlib.sha256(";".join([w[2] for w in found]).encode()).hexdigest()
         groups = sum([w[0] for w in found])
-        pairs = [pair for w in found for pair in w[3]]
-        return len(a), len(b), groups, len(pairs), digest, pairs
+        pairs = b"".join([w[3] for w in found])
+        return len(a), len(b), groups, len(pairs) // 8, digest, pairs
 
     def _learn(self, found: list, keys: list, tokens: tuple, to: tuple) -> None:
         """Align the windows of a text that are not known yet."""
@@ -153,22 +154,22 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, *, memo: int = MEM
                 rows, sizes, all_pairs = [], [], []
                 for text, ids in zip(texts, coder.codes(texts)):
                     got = aligner.of_text(text, ids) if text else None
-                    n_a, n_b, groups, links, digest, pairs = got or (0, 0, 0, 0, "", [])
+                    n_a, n_b, groups, links, digest, pairs = got or (0, 0, 0, 0, "", b"")
                     rows.append((key, n_a, n_b, groups, links, digest))
-                    sizes.append(len(pairs))
-                    all_pairs += pairs
+                    sizes.append(links)
+                    all_pairs.append(pairs)
                     key += 1
-                yield _batch(some.column("doc_id"), rows, sizes, all_pairs)
+                yield _batch(some.column("doc_id"), rows, sizes, b"".join(all_pairs))
 
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return text.mapInArrow(run, _ALIGNED)
 
 
 def _batch(
-    doc_id: pa.Array, rows: list[tuple], sizes: list[int], pairs: list[int]
+    doc_id: pa.Array, rows: list[tuple], sizes: list[int], pairs: bytes
 ) -> pa.RecordBatch:
     """The rows of a batch, the pairs of each document sorted and counted."""
-    pair = np.array(pairs, np.int64)
+    pair = np.frombuffer(pairs, np.int64)
     row = np.repeat(np.arange(len(rows)), sizes)
     order = np.lexsort((pair, row))
     pair, row = pair[order], row[order]

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from corpus_fixtures import no_docs, odd_docs, tables  # noqa: F401
 
@@ -108,7 +109,7 @@ def test_links_are_a_dictionary(spark, paths, libraries):
 def test_windows():
     window = align([1, 2, 3], [7, 8], [2, 4, 6], [3, 6])
     assert (window.groups, window.text) == (1, "1,2,3|7,8")
-    assert [(p >> 32, p & 0xFFFFFFFF) for p in window.pairs] == [(1, 7), (2, 7), (2, 8), (3, 8)]
+    assert [(p >> 32, p & 0xFFFFFFFF) for p in np.frombuffer(window.pairs, np.int64).tolist()] == [(1, 7), (2, 7), (2, 8), (3, 8)]
     window = align([1, 2], [7, 8], [2, 4], [2, 4])
     assert (window.groups, window.links, window.text) == (2, 2, "1|7;2|8")
 
