@@ -19,6 +19,7 @@ from pyspark.sql.types import LongType
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from gradeweave.functions.grades import graded
+from gradeweave.operators.buckets import Bucketed, bucketed
 from gradeweave.operators.grouping import (
     LIST_LENGTH,
     count_rows,
@@ -29,11 +30,13 @@ from gradeweave.operators.grouping import (
     value_lists,
 )
 from gradeweave.operators.joins import equi_join, first_joined_row
+from gradeweave.operators.pruned import pruned_grid_join, within
 from gradeweave.operators.ranks import counts_by_rank
 from gradeweave.operators.rows import (
     keep_columns,
     preview,
     sample_by_digest,
+    sample_of_files,
     sample_rows,
     tagged,
     tagged_union,
@@ -50,6 +53,7 @@ from gradeweave.plans.cdf import (
     cumulative_counts,
     cumulative_counts_by_rank,
     cumulative_counts_on_grid,
+    cumulative_counts_on_pruned_grid,
     cumulative_counts_reduced,
 )
 from gradeweave.plans.sqltext import (
@@ -92,6 +96,7 @@ MULTI = {"course_id": 60, "year": 2000, "quartile": 4}
 SINGLE = {"course_id": 9, "year": 2001, "quartile": 1}
 OUTCOMES = {"one": SINGLE, "several": MULTI, "none": {**MULTI, "year": 1900}}
 PERIOD = {"year": 1998, "quartile": 2}
+NEARBY = 2
 STUDENT = 3
 NO_STUDENT = -3
 STUDENTS = [3, 1, 4, 1, 5, 9, 2, 6]
@@ -240,6 +245,46 @@ def _tagged_union(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("tag").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
 
 
+def _registrations_nearby(spark: SparkSession, sf: str) -> DataFrame:
+    given = registrations(spark, sf).select(F.col("offer_id").alias("registered"), "student_id")
+    pairs = pruned_grid_join(
+        offers(spark, sf).select("offer_id"),
+        given,
+        "offer_id",
+        "registered",
+        within(-NEARBY, NEARBY),
+        F.col("offer_id") != F.col("registered"),
+        left_key=["offer_id"],
+        right_key=["registered", "student_id"],
+    )
+    return pairs.groupBy("offer_id").agg(
+        F.count("*").alias("n"), F.sum("student_id").alias("students")
+    )
+
+
+# The registrations in buckets of their offers, by session: both joins read the same ones.
+_buckets: dict[tuple[str, str], Bucketed] = {}
+
+
+def _bucketed_offers(spark: SparkSession, sf: str) -> Bucketed:
+    of = (spark.sparkContext.applicationId, sf)
+    if of not in _buckets:
+        _buckets[of] = bucketed(offers(spark, sf), registrations(spark, sf), "offer_id")
+    return _buckets[of]
+
+
+def _bucketed_totals(spark: SparkSession, sf: str) -> DataFrame:
+    joined = _bucketed_offers(spark, sf).join()
+    return joined.groupBy("offer_id", "course_id").agg(
+        F.sum("grade").alias("s"), F.count("grade").alias("n")
+    )
+
+
+def _sample_of_files(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = sample_of_files(spark, f"{sf}/lineitem.parquet")
+    return drawn.select("l_orderkey", "l_linenumber", "l_quantity")
+
+
 # --- lists ----------------------------------------------------------------------------
 
 
@@ -276,6 +321,8 @@ def queries() -> dict[str, Query]:
         "equi_join": lambda spark, sf: equi_join(
             offers(spark, sf), registrations(spark, sf), "offer_id"
         ),
+        "bucketed_join": lambda spark, sf: _bucketed_offers(spark, sf).join(),
+        "bucketed_totals": _bucketed_totals,
         "join_first_row": lambda spark, sf: first_joined_row(
             offers(spark, sf), registrations(spark, sf), "offer_id"
         ),
@@ -309,6 +356,10 @@ def queries() -> dict[str, Query]:
         "grade_cdf_grid": lambda spark, sf: cumulative_counts_on_grid(
             registrations(spark, sf), points(spark, sf)
         ),
+        "grade_cdf_pruned": lambda spark, sf: cumulative_counts_on_pruned_grid(
+            registrations(spark, sf), point_rows(spark, sf)
+        ),
+        "registrations_nearby": _registrations_nearby,
         "grade_cdf_rank": lambda spark, sf: cumulative_counts_by_rank(
             registrations(spark, sf), point_rows(spark, sf)
         ),
@@ -317,6 +368,7 @@ def queries() -> dict[str, Query]:
         ),
         "preview_rows": lambda spark, sf: preview(registrations(spark, sf).where(graded())),
         "sample_by_digest": lambda spark, sf: sample_by_digest(registrations(spark, sf)),
+        "sample_of_files": _sample_of_files,
         "sample_rows": lambda spark, sf: sample_rows(registrations(spark, sf)),
         "format_result": _format_result,
         **_of_corpus(),
@@ -443,6 +495,13 @@ def oracle_sql() -> dict[str, str]:
         "equi_join": f"""
           SELECT o.offer_id, course_id, yr, quartile, student_id, grade
           FROM {_OFFERS} o JOIN {_REGISTRATIONS} r ON o.offer_id = r.offer_id""",
+        "bucketed_join": f"""
+          SELECT o.offer_id, course_id, yr, quartile, student_id, grade
+          FROM {_OFFERS} o JOIN {_REGISTRATIONS} r ON o.offer_id = r.offer_id""",
+        "bucketed_totals": f"""
+          SELECT o.offer_id, course_id, CAST(sum(grade) AS BIGINT) AS s, count(grade) AS n
+          FROM {_OFFERS} o JOIN {_REGISTRATIONS} r ON o.offer_id = r.offer_id
+          GROUP BY o.offer_id, course_id""",
         "join_first_row": f"""
           SELECT o.offer_id, course_id, yr, quartile, student_id, grade
           FROM {_OFFERS} o JOIN {_REGISTRATIONS} r ON o.offer_id = r.offer_id
@@ -491,6 +550,13 @@ def oracle_sql() -> dict[str, str]:
         "grade_cdf": _cumulative(_POINTS),
         "grade_cdf_preagg": _cumulative(_POINT_ROWS),
         "grade_cdf_grid": _cumulative(_POINTS),
+        "grade_cdf_pruned": _cumulative(_POINT_ROWS),
+        "registrations_nearby": f"""
+          SELECT o.offer_id, count(*) AS n, CAST(sum(student_id) AS BIGINT) AS students
+          FROM {_OFFERS} o JOIN {_REGISTRATIONS} r
+            ON r.offer_id BETWEEN o.offer_id - {NEARBY} AND o.offer_id + {NEARBY}
+            AND r.offer_id <> o.offer_id
+          GROUP BY o.offer_id""",
         "grade_cdf_rank": _cumulative(_POINT_ROWS),
         "later_offers": f"""
           SELECT offer_id, CAST(total - upto AS BIGINT) AS n
@@ -506,6 +572,10 @@ def oracle_sql() -> dict[str, str]:
           SELECT * FROM {_REGISTRATIONS}
           WHERE left(md5(concat_ws(',', offer_id, student_id,
             coalesce(CAST(grade AS VARCHAR), 'null'))), 7) < '4000000'""",
+        "sample_of_files": """
+          SELECT l_orderkey, l_linenumber, l_quantity
+          FROM (SELECT *, row_number() OVER () - 1 AS row_index FROM lineitem)
+          WHERE left(md5(':' || CAST(row_index AS VARCHAR)), 7) < '4000000'""",
         "format_result": f"""
           SELECT 'CourseId = ' || CAST(course_id AS VARCHAR) || ', sum = '
             || CAST(sum(grade) AS VARCHAR) || ', count = ' || CAST(count(*) AS VARCHAR)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeweave.sources.schemas import MISSING
@@ -41,11 +41,30 @@ def sample_by_digest(df: DataFrame, share: float = 0.25) -> DataFrame:
     share; equal rows are drawn together.
     """
     cells = [F.coalesce(F.col(name).cast("string"), F.lit(MISSING)) for name in df.columns]
-    bound = f"{min(max(round(share * (1 << 28)), 0), 1 << 28):08x}"
-    digest = F.md5(F.concat_ws(",", *cells).cast("binary"))
-    return df.where(F.concat(F.lit("0"), F.substring(digest, 1, 7)) < bound)
+    return df.where(_drawn(F.concat_ws(",", *cells), share))
 
 
 def sample_rows(df: DataFrame, fraction: float = 0.25, seed: int = 42) -> DataFrame:
     """A random share of the rows, without replacement."""
     return df.sample(False, fraction, seed)
+
+
+def sample_of_files(spark: SparkSession, path: str, share: float = 0.25) -> DataFrame:
+    """About this share of the rows of a Parquet table, each drawn by its place in the files.
+
+    A row is drawn by the first 28 bits of the MD5 of ``file:row``: the file's path behind
+    ``path`` (empty if the table is one file) and the row's number in it, from 0. So equal rows
+    are drawn apart, as in a random sample, but a task that is run again, another cluster or
+    another way of splitting the files draws the same ones. Writing the table anew may change
+    them.
+    """
+    named = F.concat(F.col("_metadata.file_path"), F.lit("/"))
+    file = F.substring_index(named, f"/{path.rstrip('/').rsplit('/', 1)[-1]}/", -1)
+    place = F.concat(F.rtrim(file, F.lit("/")), F.lit(":"), F.col("_metadata.row_index"))
+    return spark.read.parquet(path).where(_drawn(place, share))
+
+
+def _drawn(text: Column, share: float) -> Column:
+    bound = f"{min(max(round(share * (1 << 28)), 0), 1 << 28):08x}"
+    digest = F.md5(text.cast("binary"))
+    return F.concat(F.lit("0"), F.substring(digest, 1, 7)) < bound

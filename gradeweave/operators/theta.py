@@ -83,8 +83,8 @@ def grid_join(
     and a hash join would hold a whole cell, while the sort spills. What a merge join does
     hold is one cell's rows of ``right``, so that should be the smaller side.
     """
-    placed_left = _place(left, _ROW, rows, left_key, seed)
-    placed_right = _place(right, _COLUMN, cols, right_key, seed + 1)
+    placed_left = place(left, _ROW, rows, left_key, seed)
+    placed_right = place(right, _COLUMN, cols, right_key, seed + 1)
     return _matching(
         _copy(placed_left, _COLUMN, cols).hint("merge"),
         _copy(placed_right, _ROW, rows),
@@ -103,7 +103,8 @@ def _matching(
     return left.join(right, list(on)).where(condition)
 
 
-def _place(df: DataFrame, axis: str, k: int, key: Sequence[str], seed: int) -> DataFrame:
+def place(df: DataFrame, axis: str, k: int, key: Sequence[str], seed: int) -> DataFrame:
+    """The rows with a place in [0, k): by the hash of the key, else drawn and checkpointed."""
     if key:
         return df.withColumn(axis, hashed_cell(k, key, seed))
     enable_checkpoints(df.sparkSession)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.functions.grades import graded
+from gradeweave.operators.pruned import compared, pruned_grid_join
 from gradeweave.operators.ranks import counts_by_rank
 from gradeweave.operators.theta import GRID, grid_join, theta_join
 from gradeweave.sources.shared import written
@@ -68,6 +69,21 @@ def cumulative_counts_on_grid(
     return _sorted_counts(pairs, "sum(c * times)")
 
 
+def cumulative_counts_on_pruned_grid(registrations: DataFrame, points: DataFrame) -> DataFrame:
+    """q, n with the theta-join on a grid without the cells whose grades all exceed their points."""
+    times = points.groupBy("q").agg(F.count("*").alias("times"))
+    pairs = pruned_grid_join(
+        grade_counts(registrations),
+        written(times, "point-counts"),
+        "grade",
+        "q",
+        compared("<="),
+        left_key=["grade"],
+        right_key=["q"],
+    )
+    return _sorted_counts(pairs, "sum(c * times)")
+
+
 def cumulative_counts_by_rank(registrations: DataFrame, points: DataFrame) -> DataFrame:
     """q, n from one sorted sequence of the grades and points, without a join of the two."""
     return counts_by_rank(registrations, points, "grade", "q").orderBy("q")
