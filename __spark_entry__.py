@@ -553,9 +553,8 @@ def oracle_sql() -> dict[str, str]:
         "grade_cdf_pruned": _cumulative(_POINT_ROWS),
         "registrations_nearby": f"""
           SELECT o.offer_id, count(*) AS n, CAST(sum(student_id) AS BIGINT) AS students
-          FROM {_OFFERS} o JOIN {_REGISTRATIONS} r
-            ON r.offer_id BETWEEN o.offer_id - {NEARBY} AND o.offer_id + {NEARBY}
-            AND r.offer_id <> o.offer_id
+          FROM {_OFFERS} o, range(-{NEARBY}, {NEARBY} + 1) steps(step), {_REGISTRATIONS} r
+          WHERE r.offer_id = o.offer_id + step AND step <> 0
           GROUP BY o.offer_id""",
         "grade_cdf_rank": _cumulative(_POINT_ROWS),
         "later_offers": f"""

@@ -10,19 +10,21 @@ give are within bounds, so one value with a third of all rows is spread over man
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
-from math import isfinite
+from math import inf, isfinite, nextafter
 from typing import NamedTuple
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, FractionalType, NumericType, TimestampNTZType, TimestampType
 
-from gradeweave.operators.ranks import place_among
 from gradeweave.operators.theta import place
 from gradeweave.sources.shared import written
 
-# At most so many ranges of a side; a table of cells has at most the square of it in rows.
+# Quantiles of a side. It has at most twice as many ranges, a table of cells the square of that in
+# rows: 263 000 of sixteen bytes.
 RANGES = 256
 
 # Rows of one side that should meet in a cell, and the pairs that a cell should give.
@@ -32,8 +34,6 @@ CELL_PAIRS = 1_000_000_000
 # Rows are placed within their range by a draw from so many.
 _DRAWS = 1 << 20
 
-_RANGED = (NumericType, DateType, TimestampType, TimestampNTZType)
-
 
 class Bounds(NamedTuple):
     """Whether two values are a pair, and what the ranges around them tell."""
@@ -41,7 +41,7 @@ class Bounds(NamedTuple):
     holds: Callable[[Column, Column], Column]
     possible: Callable[[Column, Column, Column, Column], Column]
     certain: Callable[[Column, Column, Column, Column], Column]
-    nan: bool = True  # whether NaN, the greatest number to Spark, may be in a pair
+    band: tuple[float, float] | None = None  # the least and greatest right - left
 
 
 # Of the least and greatest left value, then of the least and greatest right value.
@@ -69,13 +69,13 @@ def within(low: float, high: float) -> Bounds:
 
     Both bounds are finite, and a value with a bound added must fit its type.
     """
-    if not (isfinite(low) and isfinite(high)):
-        raise ValueError("low and high must be finite")
+    if not (isfinite(low) and isfinite(high) and low <= high):
+        raise ValueError("low and high must be finite, low at most high")
     return Bounds(
         lambda a, b: (b >= a + low) & (b <= a + high),
         lambda a, z, b, y: (y >= a + low) & (b <= z + high),
         lambda a, z, b, y: (b >= z + low) & (y <= a + high),
-        nan=False,
+        (low, high),
     )
 
 
@@ -107,23 +107,42 @@ class PrunedGrid(NamedTuple):
         )
 
 
+def _number(df: DataFrame, value: str) -> Column:
+    """The value as a double, in the same order (nearby values may become equal)."""
+    kind = df.schema[value].dataType
+    if isinstance(kind, NumericType):
+        return F.col(value).cast("double")
+    if isinstance(kind, DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(F.col(value).cast("timestamp")).cast("double")
+    raise ValueError(f"{value} must be a number, a date or a timestamp")
+
+
+def _splits(quantiles: list[float]) -> list[float]:
+    """Where ranges begin; a quantile that comes again is a frequent value, with its own range."""
+    times = Counter(q for q in quantiles if isfinite(q))
+    behind = [nextafter(q, inf) for q, n in times.items() if n > 1]
+    return [-inf, *sorted({*times, *behind} - {inf}), inf]
+
+
 def _histogram(df: DataFrame, value: str, ranges: int, side: str) -> tuple[DataFrame, DataFrame]:
     """The rows with the range of their value, and for each range that has rows: its number, rows,
-    least and greatest value. Ranges are of about equally many rows, but for values that have
-    more."""
-    field = df.schema[value]
-    if not isinstance(field.dataType, _RANGED):
-        raise ValueError(f"{value} must be a number, a date or a timestamp")
+    least and greatest value. Ranges are of about equally many rows; a value with two quantiles
+    or more has a range of its own."""
+    name, number = f"_{side}_range", "_number"
+    numbered = df.withColumn(number, _number(df, value))
     shares = [i / ranges for i in range(1, ranges)]
-    name = f"_{side}_range"
+    # Fewer than RANGES numbers.
+    cut = shares and numbered.agg(F.percentile_approx(number, shares, 100 * ranges)).first()[0]
+    splits = _splits(cut or [])
     ranged = df.withColumn(name, F.lit(0))
-    if shares:
-        cut = df.agg(F.percentile_approx(value, shares, 100 * ranges).alias("cut"))
-        splitters = F.col("_splitters")
-        range_ = F.when(splitters.isNull(), 0).otherwise(place_among(splitters, F.col(value)))
-        ranged = df.withColumn("_splitters", written(cut, "splitters").scalar()).select(
-            *df.columns, range_.alias(name)
+    if len(splits) > 2:
+        bucketizer = Bucketizer(
+            splits=splits, inputCol=number, outputCol=name, handleInvalid="keep"
         )
+        range_ = F.col(name).cast("int").alias(name)
+        ranged = bucketizer.transform(numbered).select(*df.columns, range_)
     depth = ranged.groupBy(F.col(name).alias(f"{side}_range")).agg(
         F.count("*").alias(f"{side}_rows"),
         F.min(value).alias(f"{side}_least"),
@@ -132,6 +151,16 @@ def _histogram(df: DataFrame, value: str, ranges: int, side: str) -> tuple[DataF
     return ranged, depth
 
 
+def _share(bounds: Bounds, ends: Sequence[Column]) -> Column:
+    """The share of a cell's pairs that is expected to match."""
+    some = F.lit(0.5)
+    if bounds.band:
+        low, high = bounds.band
+        a, z, b, y = (end.cast("double") for end in ends)
+        some = F.least(F.lit(1.0), F.lit(high - low or 1.0) / F.greatest(z - a, y - b))
+    return F.when(bounds.certain(*ends), 1.0).otherwise(some)
+
+
 def pruned_grid(
     left: DataFrame,
     right: DataFrame,
@@ -147,14 +176,13 @@ def pruned_grid(
 
     The histograms are exact: approximate quantiles choose where ranges begin, then each range's
     rows are counted and its ends taken. A cell that can hold a pair but need not is expected to
-    give half of all its pairs. The table of cells is written, so all tasks cut alike.
+    give half of all its pairs, or in a band join the band's share of its span. The table of cells is written, so all tasks cut alike.
     """
     left_ranged, left_depth = _histogram(left, left_value, ranges, "left")
     right_ranged, right_depth = _histogram(right, right_value, ranges, "right")
     ends = [F.col(f"{side}_{end}") for side in ("left", "right") for end in ("least", "greatest")]
-    share = F.when(bounds.certain(*ends), 1.0).otherwise(0.5)
     left_rows, right_rows = F.col("left_rows"), F.col("right_rows")
-    pairs = left_rows.cast("double") * right_rows * share
+    pairs = left_rows.cast("double") * right_rows * _share(bounds, ends)
 
     def parts(rows: str) -> Column:
         return F.ceil(F.col(rows) / cell_rows)
@@ -208,7 +236,7 @@ def pruned_grid_join(
     sides = []
     for side, value in ((left, left_value), (right, right_value)):
         present = F.col(value).isNotNull()
-        if not bounds.nan and isinstance(side.schema[value].dataType, FractionalType):
+        if bounds.band and isinstance(side.schema[value].dataType, FractionalType):
             present = present & ~F.isnan(value)
         sides.append(side.where(present))
     left, right = sides
@@ -225,6 +253,12 @@ def pruned_grid_join(
     placed_left = _in_cells(grid.left, grid.cells, "left", "right", left_key, seed)
     placed_right = _in_cells(grid.right, grid.cells, "right", "left", right_key, seed + 1)
     cell = ["_left_range", "_right_range", "_left_part", "_right_part"]
+    if bounds.band:
+        low, high = bounds.band
+        cell.append("_bin")
+        first, last = (_bin(F.col(left_value) + by, high - low) for by in bounds.band)
+        placed_left = placed_left.withColumn("_bin", F.explode(F.sequence(first, last)))
+        placed_right = placed_right.withColumn("_bin", _bin(F.col(right_value), high - low))
     pairs = placed_left.hint("merge").join(placed_right, cell)
     pairs = pairs.where(bounds.holds(F.col(left_value), F.col(right_value)))
     if condition is not None:
@@ -232,12 +266,18 @@ def pruned_grid_join(
     return pairs.drop(*cell)
 
 
+def _bin(value: Column, width: float) -> Column:
+    """The bin of a value; a band that begins and ends at values reaches over the bins between
+    theirs, most often two. Rounding keeps the order, so no pair is lost."""
+    return F.floor(value.cast("double") / (width or 1.0))
+
+
 def _in_cells(
     ranged: DataFrame, cells: DataFrame, side: str, other: str, key: Sequence[str], seed: int
 ) -> DataFrame:
     """Each row once for each cell part it is needed in."""
     own, draw = f"_{side}_range", "_draw"
-    # At most RANGES * RANGES rows of four numbers.
+    # Four numbers a row, and no more rows than said at RANGES.
     few = F.broadcast(
         cells.select(
             *[

@@ -42,7 +42,7 @@ def test_comparisons(spark, operator, size):
     assert rows_of(found) == sorted(p for p in pairs if HOLDS[operator](p[0], p[2]))
 
 
-@pytest.mark.parametrize("low,high", [(-2, 3), (0, 0), (5, 4), (10, 12)])
+@pytest.mark.parametrize("low,high", [(-2, 3), (0, 0), (10, 12)])
 @pytest.mark.parametrize("size", SIZES)
 def test_bands(spark, low, high, size):
     left, right, pairs = sides(spark, low)
@@ -85,6 +85,8 @@ def test_nan_infinity_dates_and_types(spark):
         compared("=")
     with pytest.raises(ValueError, match="finite"):
         within(0, inf)
+    with pytest.raises(ValueError, match="finite"):
+        within(2, 1)
 
 
 def test_empty_sides(spark):
