@@ -64,7 +64,7 @@ from gradeweave.plans.sqltext import (
     register_joined,
 )
 from gradeweave.sources.schemas import PASS_MARK, PASSING_GRADES, table_schema
-from gradeweave.sources.shared import new_path
+from gradeweave.sources.shared import shared_copy
 from gradeweave.sources.standins import offers, point_rows, points, registrations
 from gradeweave.sources.tables import (
     append_tag,
@@ -112,29 +112,25 @@ def entry(spark: SparkSession) -> DataFrame:
 # --- tables as text files -------------------------------------------------------------
 
 
+def _text_copy(spark: SparkSession, sf: str, rows: Query, name: str) -> str:
+    """The folder of a table's text copy: one per table and session, shared by its scans."""
+    return shared_copy(
+        spark, f"{name} of {sf}", lambda folder: write_table(rows(spark, sf), folder, name)
+    )
+
+
 def _scan_table(spark: SparkSession, sf: str) -> DataFrame:
-    folder = write_table(offers(spark, sf), new_path(spark, "tables"), "CourseOffers")
+    folder = _text_copy(spark, sf, offers, "CourseOffers")
     return read_table(spark, folder, "CourseOffers", key_type=LongType())
 
 
 def _scan_points(spark: SparkSession, sf: str) -> DataFrame:
-    folder = write_table(point_rows(spark, sf), new_path(spark, "tables"), "QuantilePoints")
+    folder = _text_copy(spark, sf, point_rows, "QuantilePoints")
     return read_table(spark, folder, "QuantilePoints")
 
 
-# The text copy of each registrations table, by session: both scans read the same one.
-_copies: dict[tuple[str, str], str] = {}
-
-
 def _written_registrations(spark: SparkSession, sf: str) -> str:
-    of = (spark.sparkContext.applicationId, sf)
-    if of not in _copies:
-        _copies[of] = _copy_of_registrations(spark, sf)
-    return _copies[of]
-
-
-def _copy_of_registrations(spark: SparkSession, sf: str) -> str:
-    return write_table(registrations(spark, sf), new_path(spark, "tables"), "CourseRegistrations")
+    return _text_copy(spark, sf, registrations, "CourseRegistrations")
 
 
 def _scan_header_as_null(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gradeweave.operators.joins import equi_join, hot_keys
 from gradeweave.operators.sizes import BROADCAST_BYTES, fits_broadcast, measure
-from gradeweave.sources.shared import new_path, written
+from gradeweave.sources.shared import new_path, remove_at_end, written
 
 BUCKET_BYTES = 256 * 1024 * 1024
 
@@ -57,8 +57,8 @@ def bucketed(
     ``buckets`` follows the measured size of the larger side unless given. Rows of null key
     are left out, for they join with nothing; all others are stored once. Hot keys are those of
     ``hot`` (found by ``hot_keys`` unless given: key, left_parts, right_parts); should they not
-    fit a broadcast, none is put apart. The tables are files of the shared folder under names of
-    this session's catalog, and stay until their owner removes them.
+    fit a broadcast, none is put apart. The tables are files of the shared folder, which go when
+    the session ends, under names of its catalog; a catalog that outlives it keeps the names.
     """
     if buckets is None:
         largest = max(measure(side).bytes for side in (left, right))
@@ -81,11 +81,13 @@ def _stored(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """Written with one file per bucket, and read as a table that knows its buckets."""
     spark = df.sparkSession
     name = f"bucketed_{uuid.uuid4().hex}"
+    path = new_path(spark, "buckets")
     (
         df.repartition(buckets, key)
         .write.bucketBy(buckets, key)
         .sortBy(key)
-        .option("path", new_path(spark, "buckets"))
+        .option("path", path)
         .saveAsTable(name)
     )
+    remove_at_end(spark, path)
     return spark.table(name)
