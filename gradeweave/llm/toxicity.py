@@ -24,10 +24,8 @@ from gradeweave.llm.text import Batch, batches, hashes, lowered
 HASH_BITS = 20
 STARTS = (4, 5, 6)
 
-# Texts of the sample that must have a term. No term is left out for what it tells alone;
-# TELLING, once the bar for that, is read nowhere and stays for a test that sets it to 0.
+# Texts of the sample that must have a term. No term is left out for what it tells alone.
 LEAST = 3
-TELLING = 0.0
 FACTORS = 8
 
 # Texts of one step of the fit, and what its first step sizes are divided by, squared.
@@ -96,14 +94,16 @@ def present(model_terms: np.ndarray, text: np.ndarray, number: np.ndarray) -> tu
 
 def train(
     documents: list[np.ndarray], labels: list[int], share: float, rounds: int = 15,
-    rate: float = 0.05, decay: float = 2e-4, shrink: float = 3e-3,
+    rate: float = 0.05, decay: float = 2e-4, shrink: float = 3e-3, shrink_pairs: float = 5e-3,
 ) -> Machine:
     """``documents`` are the distinct hash numbers of each text; ``share`` the share of label
-    1 in the whole table, to which the odds are set.
+    1 in the whole table, which is the score of every text where only one label is given.
 
     Each of ``rounds`` goes over all texts in steps of a few, which change only the terms in
-    them. Such a step also takes ``decay`` of the values, and ``shrink`` off the size of each
-    weight and the length of each vector.
+    them. Such a step also takes ``decay`` of the values, ``shrink`` off the size of each
+    weight and ``shrink_pairs`` off the length of each vector. The defaults of ``rounds``,
+    ``shrink``, ``shrink_pairs`` and the unshifted bias had the best F1 of some ninety settings
+    over the four folds of learnable rows (crc32 modulo 5); no held-out row was looked at.
     """
     y = np.array(labels, np.float32)
     odds = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
@@ -146,14 +146,14 @@ def train(
             w, v = moved[:, 0], moved[:, 1:]
             w[:] = np.sign(w) * np.maximum(np.abs(w) - shrink * step[:, 0], 0)
             length = np.maximum(np.sqrt((v**2).sum(axis=1)), 1e-12)
-            v *= np.maximum(1 - shrink * step[:, 1:].mean(axis=1) / length, 0)[:, None]
+            v *= np.maximum(1 - shrink_pairs * step[:, 1:].mean(axis=1) / length, 0)[:, None]
             values[used] = moved
             total = float(off.sum())
             bias_slopes += total**2
             bias += rate * total / np.sqrt(bias_slopes)
-    # Half of the whole table's odds shift the bias: a toxic text that is missed weighs more
+    # The bias stays that of classes of equal weight: a toxic text that is missed weighs more
     # than a false alarm.
-    return Machine(known, values[:, 0], values[:, 1:], float(bias + odds / 2))
+    return Machine(known, values[:, 0], values[:, 1:], float(bias))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Machine:

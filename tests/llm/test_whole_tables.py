@@ -39,7 +39,6 @@ def ids(docs):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(queries.tokenizer_path())
-    coder.encode_special_tokens = True
     texts = [t or "" for t in docs.text]
     found = coder.encode_batch(texts, add_special_tokens=False)
     return [np.array([*e.ids, 0], "<u4") for e in found]
@@ -165,18 +164,32 @@ def test_pairs_of_terms_tell_what_single_ones_do_not():
         documents.append(np.array([100 + a, 200 + b, *draw.integers(1000, 1050, 5)]))
         labels.append(int(a == b))
     documents = [np.unique(d) for d in documents]
-    # Alone, none of the four terms tells the labels apart, so they are all kept here.
-    before, toxicity.TELLING = toxicity.TELLING, 0.0
-    try:
-        model = toxicity.train(documents, labels, 0.5, rounds=600, decay=1e-6)
-    finally:
-        toxicity.TELLING = before
+    # Alone, none of the four terms tells the labels apart.
+    model = toxicity.train(documents, labels, 0.5, rounds=600, decay=1e-6)
     text = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
     found = toxicity.present(model.terms, text, np.concatenate(documents))
     right = (toxicity.score(model, *found, len(documents)) > 0) == (np.array(labels) == 1)
     assert right.mean() > 0.9
 
 
+def test_score_is_the_sum_over_all_pairs():
+    draw = np.random.default_rng(3)
+    model = toxicity.Machine(
+        np.arange(0, 60, 3), draw.normal(size=20), draw.normal(size=(20, toxicity.FACTORS)), 0.7
+    )
+    texts = [np.unique(draw.integers(0, 60, n)) for n in (0, 1, 2, 15, 40)]
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    got = toxicity.score(
+        model, *toxicity.present(model.terms, text, np.concatenate(texts)), len(texts)
+    )
+    for t, odds in zip(texts, got):
+        places = [i for i, number in enumerate(model.terms) if number in t]
+        pairs = sum(
+            model.vectors[i] @ model.vectors[j] for i in places for j in places if i < j
+        )
+        assert odds == pytest.approx(0.7 + sum(model.weights[i] for i in places) + pairs)
+
+
 def test_pairs_of_terms_tell_with_the_settings_of_the_query():
     draw = np.random.default_rng(0)
     documents, labels = [], []
