@@ -115,9 +115,15 @@ def header_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
         "value",
     )
-    # Within the task that reads a block, rows are numbered in order.
+    # Within the task that reads a block, rows are numbered in order. An aggregate that keeps a text
+    # sorts all its input by file, unless one that collects stands beside it: then a task holds
+    # one line of each file. No row is below 0, so nothing is collected.
     first = lines.where(F.col("start") == 0).groupBy("file")
-    return first.agg(F.min_by("value", "row").alias("value"))
+    kept = first.agg(
+        F.min_by("value", "row").alias("value"),
+        F.collect_set(F.when(F.col("row") < 0, F.col("row"))).alias("none"),
+    )
+    return kept.where(F.size("none") == 0).select("file", "value")
 
 
 def drop_header(lines: DataFrame, header: str | None) -> DataFrame:

@@ -4,7 +4,7 @@ import gzip
 from urllib.parse import unquote
 
 import pytest
-from compare import rows_of
+from compare import plan_of, rows_of
 from conftest import REGISTRATIONS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,6 +146,15 @@ def test_first_line_of_odd_files(spark, tmp_path, monkeypatch):
     assert found == {"b c%20d": "", "c": "third"}
 
 
+def test_header_lines_do_not_sort_the_lines(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / name).write_text(f"head of {name}\n" + "1,2,3\n" * 20_000)
+    found = header_lines(spark, str(tmp_path))
+    assert "Sort" not in plan_of(found)
+    assert {row["value"] for row in found.collect()} == {f"head of {name}" for name in "abc"}
+    assert found.count() == 3
+
+
 def test_first_line_of_nothing(spark, tmp_path):
     (tmp_path / "a").write_text("")
     assert first_line(spark, str(tmp_path)) is None
