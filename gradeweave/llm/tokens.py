@@ -9,17 +9,20 @@ with an added token of the vocabulary, which the library finds before it cuts.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import sys
 import types
+from array import array
 
 import numpy as np
 
 # The cutting rule of byte-level BPE vocabularies, for the known characters (fixed values).
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _KNOWN = re.compile(rf"[\t\n -~{_LETTERS}]*")
-_PIECES = re.compile(
+PIECES = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \t\n{_LETTERS}0-9]+"
     r"|[ \t\n]+(?![^ \t\n])|[ \t\n]+"
 )
@@ -43,10 +46,27 @@ def _worker_memo(path: str) -> types.ModuleType:
         added = held.tokenizer.get_added_tokens_decoder().values()
         held.added = [token.content for token in added]
         held.ids = {}
+        held.line_feed = line_feed(held.tokenizer)
         sys.modules[name] = held
     return sys.modules[name]
 
 
+def packed(tokens: list) -> bytes:
+    """The ids of a model's tokens as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
+
+
+def line_feed(tokenizer) -> int | None:
+    """The id of a line feed, if the tokenizer is known to cut by the byte-level rule; then a line
+    feed between two pre-tokens is one itself, and no other pre-token has its id."""
+    cutter = tokenizer.pre_tokenizer and json.loads(tokenizer.pre_tokenizer.__getstate__())
+    known = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if tokenizer.normalizer or not cutter or known.items() - cutter.items():
+        return None
+    ids = tokenizer.encode("\n", add_special_tokens=False).ids
+    return ids[0] if len(ids) == 1 else None
+
+
 class Coder:
     """Codes texts as little-endian unsigned 32-bit ids."""
 
@@ -62,7 +82,7 @@ class Coder:
     def codes(self, texts: list[str]) -> list[bytes]:
         added = self.held.added
         cut = [
-            _PIECES.findall(x) if _KNOWN.fullmatch(x) and not any(a in x for a in added) else None
+            PIECES.findall(x) if _KNOWN.fullmatch(x) and not any(a in x for a in added) else None
             for x in texts
         ]
         ids = self.held.ids
@@ -79,17 +99,34 @@ class Coder:
         spaces = {piece for piece in new if piece.isspace()}
         for piece in spaces:
             self.held.ids[piece] = self.whole(piece)
-        rest = sorted(new - spaces)
+        rest = new - spaces
+        if self.held.line_feed is not None:
+            # Printable ASCII stands for itself in the vocabulary, and a space for U+0120.
+            tokenize = self.held.tokenizer.model.tokenize
+            plain = list(filter(str.isascii, rest))
+            for piece in plain:
+                self.held.ids[piece] = packed(tokenize(piece.replace(" ", "\u0120")))
+            rest = rest.difference(plain)
+        rest = list(rest)
         for i in range(0, len(rest), _AT_ONCE):
             self._learn_lines(rest[i : i + _AT_ONCE])
 
     def _learn_lines(self, pieces: list[str]) -> None:
         """Code pre-tokens as the lines of one text; a line feed is a pre-token there."""
         coded = self.held.tokenizer.encode("\n".join(pieces), add_special_tokens=False)
-        ids = np.array(coded.ids, "<u4")
-        word = np.array(coded.word_ids, np.int64)
-        if word[-1] != 2 * len(pieces) - 2:
-            raise ValueError("the tokenizer does not cut like a byte-level BPE")
-        bounds = np.searchsorted(word, np.arange(2 * len(pieces)))
-        for k, piece in enumerate(pieces):
-            self.held.ids[piece] = ids[bounds[2 * k] : bounds[2 * k + 1]].tobytes()
+        ids = array("I", coded.ids)
+        if self.held.line_feed is None:
+            # Where each line starts and ends, by the pre-tokens.
+            word = np.array(coded.word_ids, np.int64)
+            if word[-1] != 2 * len(pieces) - 2:
+                raise ValueError("the tokenizer does not cut like a byte-level BPE")
+            bounds = np.searchsorted(word, np.arange(2 * len(pieces)))
+            starts, ends = bounds[::2], bounds[1::2]
+        else:
+            feeds = np.flatnonzero(np.frombuffer(ids, np.uintc) == self.held.line_feed)
+            if len(feeds) != len(pieces) - 1:
+                raise ValueError("the tokenizer does not cut like a byte-level BPE")
+            starts, ends = np.append(0, feeds + 1), np.append(feeds, len(ids))
+        data = np.frombuffer(ids, np.uintc).astype("<u4").tobytes()
+        for piece, i, j in zip(pieces, (4 * starts).tolist(), (4 * ends).tolist()):
+            self.held.ids[piece] = data[i:j]
