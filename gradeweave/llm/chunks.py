@@ -8,14 +8,18 @@ when they are full, so a worker's memory does not grow with the corpus.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import types
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 
+from gradeweave.llm.tokens import PIECES, line_feed, packed
+
 # Chunks kept per worker and vocabulary.
 MEMO = 600_000
 
@@ -27,6 +31,14 @@ _JOINED = 200
 _RUN = re.compile(r"\s \s|  ")
 _BLANK = re.compile(r"\s")
 
+# The rule by which the word vocabulary cuts, and its parts of printable ASCII without capitals.
+_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile(rb"[!-@\[-~]+")
+_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+# Stands between chunks that are coded together.
+_MARK = b"\x01"
+
 
 def kept(name: str, make: Callable[[], object]) -> types.SimpleNamespace:
     """What ``make`` gave in this worker process the first time; it stays from task to task.
@@ -51,46 +63,99 @@ def _library(path: str, plain: bool):
     return tokenizer
 
 
+def _bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return np.frombuffer(array("I", ids), np.uintc).astype("<u4").tobytes()
+
+
 class WordCoder:
     """Ids of a vocabulary that drops white space and lower-cases, as the library gives them
     without special tokens being added (their strings in a text are found)."""
 
     def __init__(self, path: str, memo: int = MEMO):
         self.memo = memo
-        self.library, self.ids = kept(f"words_{path}", lambda: (_library(path, False), {}))
+        self.library, self.ids, self.mark, self.parts = kept(f"words_{path}", lambda: _words(path))
 
     def codes(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.ids) > self.memo:
             self.ids.clear()
-        cut = [_lowered(text).split() for text in texts]
-        self._learn(set().union(*cut).difference(self.ids))
+            if self.parts is not None:
+                self.parts.clear()
+        lowered = list(map(_lowered, texts))
+        cut = [text.split() for text in lowered]
+        self._learn(
+            set().union(*cut).difference(self.ids), any(_touchy(text) for text in lowered)
+        )
         return [b"".join(map(self.ids.__getitem__, chunks)) for chunks in cut]
 
-    def _learn(self, new: set[bytes]) -> None:
-        alone = {chunk for chunk in new if _touchy(chunk)}
+    def _learn(self, new: set[bytes], touchy: bool) -> None:
+        alone = {chunk for chunk in new if _touchy(chunk)} if touchy else set()
+        rest = new - alone
+        if self.parts is not None:
+            plain = list(filter(_PLAIN.fullmatch, rest))
+            for chunk in plain:
+                self.ids[chunk] = b"".join(map(self._part, _PARTS.findall(chunk)))
+            rest = rest.difference(plain)
+        if self.mark is None:
+            alone, rest = alone | rest, set()
         for chunk in alone:
-            self.ids[chunk] = self._by_library(chunk.decode())[0]
-        rest = sorted(new - alone)
+            self.ids[chunk] = self._by_library(chunk.decode())
+        rest = list(rest)
         for i in range(0, len(rest), _JOINED):
-            some = rest[i : i + _JOINED]
-            words = [chunk.decode() for chunk in some]
-            ids, starts = self._by_library(" ".join(words))
-            of_word = np.cumsum([0, *[len(word) + 1 for word in words]])
-            bounds = (4 * np.searchsorted(starts, of_word)).tolist()
-            for k, chunk in enumerate(some):
-                self.ids[chunk] = ids[bounds[k] : bounds[k + 1]]
-
-    def _by_library(self, text: str) -> tuple[bytes, np.ndarray]:
-        """Ids, and the place of each one's first character."""
-        coded = self.library.encode(text, add_special_tokens=False)
-        starts = np.array([a for a, _ in coded.offsets], np.int64)
-        return np.array(coded.ids, "<u4").tobytes(), starts
+            self._learn_joined(rest[i : i + _JOINED])
+
+    def _part(self, part: bytes) -> bytes:
+        """The ids of a part that the vocabulary codes by itself."""
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.parts[part] = packed(self.library.model.tokenize(part.decode()))
+        return ids
+
+    def _learn_joined(self, chunks: list[bytes]) -> None:
+        """Code chunks as one text, with a mark between them that none of them holds."""
+        joined = (b" " + _MARK + b" ").join(chunks)
+        data = self._by_library(joined.decode())
+        at = np.flatnonzero(np.frombuffer(data, "<u4") == self.mark)
+        if len(at) != len(chunks) - 1:
+            for chunk in chunks:
+                self.ids[chunk] = self._by_library(chunk.decode())
+            return
+        bounds = (4 * at).tolist()
+        for chunk, i, j in zip(chunks, [0, *[x + 4 for x in bounds]], [*bounds, len(data)]):
+            self.ids[chunk] = data[i:j]
+
+    def _by_library(self, text: str) -> bytes:
+        return _bytes(self.library.encode(text, add_special_tokens=False).ids)
+
+
+def _words(path: str) -> tuple:
+    """The library, the memo, the mark's id if it is coded as one, and a memo of parts if the
+    library cuts by the rule known here and leaves printable ASCII as it is."""
+    library = _library(path, False)
+    mark = library.encode(_MARK.decode(), add_special_tokens=False).ids
+    cutters = _state(library.pre_tokenizer).get("pretokenizers", [])
+    normalizers = _state(library.normalizer).get("normalizers", [])
+    known = (
+        [x["type"] for x in cutters] == ["Split", "ByteLevel"]
+        and cutters[0]["pattern"] == {"Regex": _RULE}
+        and cutters[0]["invert"]
+        and cutters[0]["behavior"] == "Removed"
+        and not (cutters[1]["add_prefix_space"] or cutters[1]["use_regex"])
+        and [x["type"] for x in normalizers] == ["NFC", "Replace", "Lowercase"]
+        and normalizers[1]["pattern"] == {"Regex": r"\s+"}
+    )
+    return library, {}, mark[0] if len(mark) == 1 else None, {} if known else None
+
+
+def _state(part) -> dict:
+    """The settings of a part of a tokenizer."""
+    return json.loads(part.__getstate__()) if part else {}
 
 
 def _touchy(data: bytes) -> bool:
-    """May hold a combining mark or a special token."""
-    return b"<|" in data or b"\xcc" in data or b"\xcd" in data
+    """May hold a combining mark, a special token or the mark between chunks."""
+    return b"<|" in data or b"\xcc" in data or b"\xcd" in data or _MARK in data
 
 
 def _lowered(text: str) -> bytes:
@@ -114,18 +179,22 @@ class PairCoder:
         self.memo = memo
         self.name = f"{byte_path}_{piece_path}"
         made = kept(f"pair_{self.name}", lambda: _pair(byte_path, piece_path))
-        self.byte, self.piece, self.bytes_a, self.bytes_b, self.whole_pieces, self.ids = made
+        self.byte, self.piece, self.bytes_a, self.bytes_b, self.whole_pieces, self.ids = made[:6]
+        # Ids of the pre-tokens of plain chunks, None if the byte-level rule is not the one known.
+        self.parts: dict[str, bytes] | None = made[6]
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
 
     def by_library(self, text: str) -> tuple[bytes, bytes]:
         """Ids of one text, by the libraries alone."""
         a = self.byte.encode(" " + text, add_special_tokens=False).ids
-        return np.array(a, "<u4").tobytes(), np.array(self.piece.encode(text), "<u4").tobytes()
+        return _bytes(a), _bytes(self.piece.encode(text))
 
     def codes(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         if len(self.ids) > self.memo:
             self.ids.clear()
+            if self.parts is not None:
+                self.parts.clear()
         cut = [None if self._whole(text) else text.split(" ") for text in texts]
         self._learn(set().union(*(chunks for chunks in cut if chunks)).difference(self.ids))
         coded = []
@@ -148,12 +217,39 @@ class PairCoder:
         )
 
     def _learn(self, new: set[str]) -> None:
-        blank = {chunk for chunk in new if not chunk or _BLANK.search(chunk)}
+        # White space other than the space is not printable.
+        blank = {x for x in new if not x or not x.isprintable() and _BLANK.search(x)}
         for chunk in blank:
             self.ids[chunk] = self.by_library(chunk)
-        rest = sorted(new - blank)
+        rest = new - blank
+        plain = [] if self.parts is None else [x for x in rest if x.isascii() and x.isprintable()]
+        rest = list(rest.difference(plain))
         for i in range(0, len(rest), _AT_ONCE):
             self._learn_joined(rest[i : i + _AT_ONCE])
+        for i in range(0, len(plain), _AT_ONCE):
+            self._learn_plain(plain[i : i + _AT_ONCE])
+
+    def _learn_plain(self, chunks: list[str]) -> None:
+        """``_learn_joined`` of printable ASCII: its pre-tokens are coded once each."""
+        ends = np.cumsum([len(chunk) + 1 for chunk in chunks])
+        ids = _bytes(self.piece.encode(" ".join(chunks)))
+        at = np.cumsum(self.length_b[np.frombuffer(ids, "<u4")])
+        cut = np.searchsorted(at, ends)
+        if at[-1] != ends[-1] or (at[cut] != ends).any():
+            for chunk in chunks:
+                self.ids[chunk] = self.by_library(chunk)
+            return
+        bounds = (4 * (cut + 1)).tolist()
+        for chunk, i, j in zip(chunks, [0, *bounds], bounds):
+            pieces = PIECES.findall(" " + chunk)
+            self.ids[chunk] = b"".join(map(self._part, pieces)), ids[i:j]
+
+    def _part(self, piece: str) -> bytes:
+        ids = self.parts.get(piece)
+        if ids is None:
+            coded = self.byte.model.tokenize(piece.replace(" ", "\u0120"))
+            ids = self.parts[piece] = packed(coded)
+        return ids
 
     def _learn_joined(self, chunks: list[str]) -> None:
         """Code chunks as one text and cut its ids where the chunks end, if both libraries
@@ -191,7 +287,8 @@ def _pair(byte_path: str, piece_path: str) -> tuple:
         else:
             bytes_b.append(token.replace("▁", " ").encode())
             runs_on = runs_on or "▁" in token.lstrip("▁")
-    return byte, piece, bytes_a, bytes_b, runs_on, {}
+    known = line_feed(byte) is not None
+    return byte, piece, bytes_a, bytes_b, runs_on, {}, {} if known else None
 
 
 def byte_level() -> dict[str, int]:

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -90,6 +91,13 @@ def test_coder_is_the_library(library):
             assert got + b"\0\0\0\0" == ids_of(library, text).tobytes(), text
 
 
+def test_plain_chunks_are_coded_by_the_model(library):
+    coder = WordCoder(queries.tokenizer_path(queries.WORD_TOKENIZER))
+    text = "It's 3 foxes' qzxv-jkwq, we'll (see) @12:30! " + "".join(map(chr, range(32, 127)))
+    coder.library = SimpleNamespace(model=coder.library.model)
+    assert coder.codes([text])[0] + b"\0\0\0\0" == ids_of(library, text).tobytes()
+
+
 def check(rows, texts, library, capacity, column="ids_crc32"):
     """Every id of every document in one piece, every sequence within its limit."""
     ids = {doc_id: ids_of(library, text) for doc_id, text in texts}
