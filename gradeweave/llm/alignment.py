@@ -68,6 +68,24 @@ def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> W
     return Window(len(groups), len(pairs), ";".join(groups), array("q", pairs).tobytes())
 
 
+class Spelling:
+    """The bytes of all tokens of a vocabulary behind each other."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.length = np.array(list(map(len, tokens)), np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def gives(self, ids: np.ndarray, whole: bytes) -> bool:
+        """Are the bytes of these tokens, joined, the whole?"""
+        length = self.length[ids]
+        end = np.cumsum(length)
+        if not len(end) or end[-1] != len(whole):
+            return False
+        place = np.repeat(self.start[ids] - end + length, length) + np.arange(len(whole))
+        return self.bytes[place].tobytes() == whole
+
+
 class Aligner:
     """Aligns the ids of whole texts, with a memo of windows."""
 
@@ -77,15 +95,43 @@ class Aligner:
         self.windows: dict[tuple[bytes, bytes], Window] = kept(f"windows_{coder.name}", dict)
         self.spaced_a = np.array([x[:1] == b" " for x in coder.bytes_a])
         self.spaced_b = np.array([x[:1] == b" " for x in coder.bytes_b])
+        self.spelled_a, self.spelled_b = Spelling(coder.bytes_a), Spelling(coder.bytes_b)
+        self.names, self.name_length = kept(
+            f"names_{coder.name}", lambda: _names(len(coder.bytes_a), len(coder.bytes_b))
+        )
 
     def of_text(self, text: str, ids: tuple[bytes, bytes]) -> tuple | None:
         """n_a, n_b, groups, links, digest of the groups, and the windows' pairs of ids; None if
         the bytes of the tokens are not those of a space and the text."""
+        return self.of_texts([text], [ids])[0]
+
+    def of_texts(self, texts: list[str], ids: list[tuple[bytes, bytes]]) -> list[tuple | None]:
+        """``of_text`` of each text; the windows not met before are aligned together."""
+        if len(self.windows) > self.memo:
+            self.windows.clear()
+        keys = [self._keys(text, both) for text, both in zip(texts, ids)]
+        known = self.windows
+        new = dict.fromkeys(k for of_text in keys if of_text for k in of_text if k not in known)
+        if new:
+            known.update(zip(new, self.align_all(list(new))))
+        rows = []
+        for of_text, (a, b) in zip(keys, ids):
+            if of_text is None:
+                rows.append(None)
+                continue
+            found = list(map(known.__getitem__, of_text))
+            digest = hashlib.sha256(";".join([w[2] for w in found]).encode()).hexdigest()
+            groups = sum([w[0] for w in found])
+            pairs = b"".join([w[3] for w in found])
+            rows.append((len(a) // 4, len(b) // 4, groups, len(pairs) // 8, digest, pairs))
+        return rows
+
+    def _keys(self, text: str, ids: tuple[bytes, bytes]) -> list[tuple[bytes, bytes]] | None:
+        """The windows of a text, by the ids of both sides."""
         a, b = (np.frombuffer(x, "<u4") for x in ids)
         whole = b" " + text.encode()
-        for numbers, table in ((a, self.coder.bytes_a), (b, self.coder.bytes_b)):
-            if b"".join([table[i] for i in numbers.tolist()]) != whole:
-                return None
+        if not (self.spelled_a.gives(a, whole) and self.spelled_b.gives(b, whole)):
+            return None
         ends_a = np.cumsum(self.coder.length_a[a])
         ends_b = np.cumsum(self.coder.length_b[b])
         # Tokens after which the text is cut: the next one of both is marked by a space.
@@ -94,36 +140,71 @@ class Aligner:
         at_a, at_b = ends_a[cut_a], ends_b[cut_b]
         place = np.searchsorted(at_b, at_a)
         both = np.flatnonzero(np.append(at_b, -1)[place] == at_a)
-        to_a = [*(cut_a[both] + 1).tolist(), len(a)]
-        to_b = [*(cut_b[place[both]] + 1).tolist(), len(b)]
+        to_a = (4 * (cut_a[both] + 1)).tolist()
+        to_b = (4 * (cut_b[place[both]] + 1)).tolist()
         code_a, code_b = ids
-        keys, i, j = [], 0, 0
-        for m, n in zip(to_a, to_b):
-            keys.append((code_a[4 * i : 4 * m], code_b[4 * j : 4 * n]))
-            i, j = m, n
-        if len(self.windows) > self.memo:
-            self.windows.clear()
-        found = list(map(self.windows.get, keys))
-        if None in found:
-            self._learn(found, keys, (a, b, ends_a, ends_b), (to_a, to_b))
-        digest = hashlib.sha256(";".join([w[2] for w in found]).encode()).hexdigest()
-        groups = sum([w[0] for w in found])
-        pairs = b"".join([w[3] for w in found])
-        return len(a), len(b), groups, len(pairs) // 8, digest, pairs
-
-    def _learn(self, found: list, keys: list, tokens: tuple, to: tuple) -> None:
-        """Align the windows of a text that are not known yet."""
-        a, b, ends_a, ends_b = (x.tolist() for x in tokens)
-        to_a, to_b = to
-        for k, window in enumerate(found):
-            if window is None:
-                i, m = to_a[k - 1] if k else 0, to_a[k]
-                j, n = to_b[k - 1] if k else 0, to_b[k]
-                window = self.windows.get(keys[k])
-                if window is None:
-                    window = align(a[i:m], b[j:n], ends_a[i:m], ends_b[j:n])
-                    self.windows[keys[k]] = window
-                found[k] = window
+        return [
+            (code_a[i:m], code_b[j:n])
+            for i, m, j, n in zip(
+                [0, *to_a], [*to_a, len(code_a)], [0, *to_b], [*to_b, len(code_b)]
+            )
+        ]
+
+    def align_all(self, keys: list[tuple[bytes, bytes]]) -> list[Window]:
+        """The windows of these ids. Both sides of a window have equally many bytes, so the windows
+        behind each other are one text, whose links and groups stay within them."""
+        a, b = (np.frombuffer(b"".join(side), "<u4").astype(np.int64) for side in zip(*keys))
+        last_a, last_b = (np.cumsum([len(x) for x in side]) // 4 - 1 for side in zip(*keys))
+        length = self.coder.length_a[a]
+        ends_a, ends_b = np.cumsum(length), np.cumsum(self.coder.length_b[b])
+        first = np.searchsorted(ends_b, ends_a - length, "right")
+        last = np.searchsorted(ends_b, ends_a)
+        # Each A token with the B tokens that it shares bytes with.
+        linked = last - first + 1
+        behind = np.cumsum(linked)
+        of_a = np.repeat(np.arange(len(a)), linked)
+        of_b = np.arange(len(of_a)) + (first - behind + linked)[of_a]
+        pairs = (a[of_a] << _SHIFT | b[of_b]).tobytes()
+
+        shared = ends_b[last] == ends_a
+        end_a = np.flatnonzero(shared)
+        end_b = last[end_a]
+        closes = np.zeros(len(b), bool)
+        closes[end_b] = True
+        # Tokens in the order of the groups' text: of each group those of A, then those of B.
+        group_a = np.cumsum(shared) - shared
+        group_b = np.cumsum(closes) - closes
+        token = np.empty(len(a) + len(b), np.int64)
+        n_a = len(self.coder.bytes_a)
+        before = np.concatenate(([0], end_b + 1))
+        token[np.arange(len(a)) + before[group_a]] = a + n_a * shared
+        at_b = np.arange(len(b)) + end_a[group_b] + 1
+        token[at_b] = b + 2 * n_a + len(self.coder.bytes_b) * closes
+        text = "".join(map(self.names.__getitem__, token.tolist()))
+        to_text = np.cumsum(self.name_length[token])[at_b[last_b]].tolist()
+        to_group = np.cumsum(shared)[last_a]
+        to_pair = behind[last_a]
+        return [
+            # Without the semicolon behind the window's last group.
+            Window(groups, links, text[i : j - 1], pairs[k:m])
+            for groups, links, i, j, k, m in zip(
+                np.diff(to_group, prepend=0).tolist(),
+                np.diff(to_pair, prepend=0).tolist(),
+                [0, *to_text],
+                to_text,
+                [0, *(8 * to_pair).tolist()],
+                (8 * to_pair).tolist(),
+            )
+        ]
+
+
+def _names(n_a: int, n_b: int) -> tuple[list[str], np.ndarray]:
+    """The ids as they stand in a text of groups: those of A within a group and at the end of its
+    side, then those of B alike; and their lengths."""
+    names = [
+        f"{i}{mark}" for n, marks in ((n_a, ",|"), (n_b, ",;")) for mark in marks for i in range(n)
+    ]
+    return names, np.array(list(map(len, names)), np.int64)
 
 
 _ALIGNED = (
@@ -157,8 +238,10 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, *, memo: int = MEM
                     some = batch.slice(i, _DOCS)
                     texts = [x or "" for x in some.column("text").to_pylist()]
                     rows, sizes, all_pairs = [], [], []
-                    for text, ids in zip(texts, coder.codes(texts)):
-                        got = aligner.of_text(text, ids) if text else None
+                    full = [x for x in texts if x]
+                    found = iter(aligner.of_texts(full, coder.codes(full)))
+                    for text in texts:
+                        got = next(found) if text else None
                         n_a, n_b, groups, links, digest, pairs = got or (0, 0, 0, 0, "", b"")
                         rows.append((key, n_a, n_b, groups, links, digest))
                         sizes.append(links)

@@ -9,7 +9,7 @@ import pytest
 from corpus_fixtures import no_docs, odd_docs, tables  # noqa: F401
 
 from gradeweave.llm import queries
-from gradeweave.llm.alignment import align, align_tokenizers
+from gradeweave.llm.alignment import Aligner, align, align_tokenizers
 from gradeweave.llm.chunks import PairCoder
 
 COLUMNS = "n_a n_b n_groups n_links n_best count_sum groups_sha256".split()
@@ -114,6 +114,19 @@ def test_windows():
     assert (window.groups, window.links, window.text) == (2, 2, "1|7;2|8")
 
 
+def test_windows_aligned_together_are_those_aligned_alone(paths):
+    coder = PairCoder(*paths)
+    aligner = Aligner(coder)
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abeinrst.,1é日", k=rng.randrange(1, 12))) for _ in range(500)]
+    keys = [key for key, word in zip(coder.codes(words), words) if aligner._keys(word, key)]
+    assert len(keys) > 400
+    for key, window in zip(keys, aligner.align_all(keys)):
+        a, b = (np.frombuffer(side, "<u4").tolist() for side in key)
+        ends_a, ends_b = np.cumsum(coder.length_a[a]), np.cumsum(coder.length_b[b])
+        assert window == align(a, b, ends_a.tolist(), ends_b.tolist())
+
+
 def test_coder_is_the_libraries(paths):
     rng = random.Random(1)
     parts = ["a", "B", " ", "  ", "\n", "'s", "1", "é", "J", "<|endoftext|>", "<s>", "▁", "日",
