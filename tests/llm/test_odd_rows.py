@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns; parts of
 the operators that the registered queries do not show."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from corpus_fixtures import no_docs, odd_docs  # noqa: F401
@@ -94,6 +96,15 @@ def test_memo_gives_the_ids_of_the_library(text):
     assert coder.codes([text]) == [coder.whole(text)]
 
 
+def test_plain_pieces_are_coded_by_the_model(monkeypatch):
+    coder = Coder(queries.tokenizer_path())
+    text = "It's 31 foxes qzxv-jkwq," + "".join(map(chr, range(32, 127))) + " we'll"
+    expected = coder.whole(text)
+    coder.held.ids.clear()
+    monkeypatch.setattr(coder.held, "tokenizer", SimpleNamespace(model=coder.held.tokenizer.model))
+    assert coder.codes([text]) == [expected]
+
+
 def test_added_tokens_get_the_ids_of_the_library():
     from tokenizers import Tokenizer
 
