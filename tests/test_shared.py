@@ -20,6 +20,12 @@ from gradeweave.sources.shared import (
 )
 
 
+@pytest.fixture(autouse=True, scope="module")
+def nothing_written_before(spark):
+    """Other modules' tables are not counted here."""
+    remove_written(spark)
+
+
 def session(**settings):
     return SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None), conf=SimpleNamespace(get=settings.get))
 
