@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.llm.files import opened, whole_file
-from gradeweave.llm.tokens import Coder
+from gradeweave.llm.tokens import Coder, slices
 from gradeweave.sources.shared import new_path
 
 MAGIC = b"GWS8B001"
@@ -31,6 +31,11 @@ BLOCK = 1024
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([64, *(60 // COUNTS[1:])], np.int64)
 
+# The largest value of each width, and the first selector that fits a value below 2^16.
+_LIMITS = np.array([(1 << int(w)) - 1 for w in WIDTHS[1:]], np.uint64)
+_SMALL = 1 << 16
+_FITS = (1 + np.searchsorted(_LIMITS, np.arange(_SMALL, dtype=np.uint64))).astype(np.uint8)
+
 # The maximum of a window, from those of two windows that cover it.
 _WINDOWS = {
     2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (4, 2), 7: (4, 3), 8: (4, 4), 10: (8, 2),
@@ -59,10 +64,10 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     # A window that fits a selector fits the later ones too, with fewer and wider values. So
     # the first that fits is found by counting those that don't.
-    limits = [np.uint64((1 << int(w)) - 1) for w in WIDTHS[1:]]
-    narrowest = np.ones(table.shape, np.uint8)
-    for limit in limits:
-        narrowest += table > limit
+    narrowest = _FITS[np.minimum(table, _SMALL - 1)]
+    large = table >= _SMALL
+    if large.any():
+        narrowest[large] = 1 + np.searchsorted(_LIMITS, table[large])
     selector = np.ones((blocks, BLOCK), np.uint8)
     widest = {1: narrowest}
     for n, (one, other) in _WINDOWS.items():
@@ -73,20 +78,17 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     selector[selector == len(COUNTS)] = 0
 
     # From word to word, in all blocks at once.
-    at, block = np.zeros(blocks, np.int64), np.arange(blocks)
-    step, rows, places, kinds = 0, [], [], []
-    while len(block):
-        kind = selector[block, at]
-        rows.append(block)
-        places.append(at)
-        kinds.append(kind)
-        at = at + COUNTS[kind]
-        going = at < length[block]
-        at, block, step = at[going], block[going], step + 1
-    order = np.argsort(np.concatenate(rows), kind="stable")
-    row = np.concatenate(rows)[order]
-    place = np.concatenate(places)[order]
-    kind = np.concatenate(kinds)[order]
+    starts = np.zeros((blocks, BLOCK), bool)
+    first = np.arange(blocks) * BLOCK
+    end, at, ahead = first + length, first, COUNTS[selector].reshape(-1)
+    while len(at):
+        starts.reshape(-1)[at] = True
+        at = at + ahead[at]
+        going = at < end
+        at, end = at[going], end[going]
+    at = np.flatnonzero(starts)
+    row, kind = at // BLOCK, selector.reshape(-1)[at]
+    value_at, cells = at + row * (table.shape[1] - BLOCK), table.reshape(-1)
 
     size = np.where(kind == 0, 2, 1)
     word_at = np.cumsum(size) - size
@@ -94,12 +96,13 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s in range(1, len(COUNTS)):
         mine = np.flatnonzero(kind == s)
         if len(mine):
-            lanes = np.arange(COUNTS[s])
-            parts = table[row[mine, None], place[mine, None] + lanes]
-            parts = parts << (lanes * WIDTHS[s]).astype(np.uint64)
-            words[word_at[mine]] = np.bitwise_or.reduce(parts, axis=1) | np.uint64(s << 60)
+            first_value = value_at[mine]
+            word = np.full(len(mine), s << 60, np.uint64)
+            for lane in range(int(COUNTS[s])):
+                word |= cells[first_value + lane] << np.uint64(lane * WIDTHS[s])
+            words[word_at[mine]] = word
     escaped = np.flatnonzero(kind == 0)
-    words[word_at[escaped] + 1] = table[row[escaped], place[escaped]]
+    words[word_at[escaped] + 1] = cells[value_at[escaped]]
     return words, np.bincount(row, size, blocks).astype(np.uint32)
 
 
@@ -117,17 +120,17 @@ def decode(words: np.ndarray, per_block: np.ndarray, n: int) -> np.ndarray:
     row = np.repeat(np.arange(blocks), per_block)
     place = np.cumsum(count) - count
     first = np.cumsum(per_block) - per_block
-    place -= place[first][row] if blocks else 0
+    place += row * out.shape[1] - (place[first][row] if blocks else 0)
+    cells = out.reshape(-1)
     for s in range(1, len(COUNTS)):
         mine = np.flatnonzero(kind == s)
         if len(mine):
-            lanes = np.arange(COUNTS[s])
-            shifts = (lanes * WIDTHS[s]).astype(np.uint64)
+            word, to = words[mine], place[mine]
             mask = np.uint64((1 << int(WIDTHS[s])) - 1)
-            values = (words[mine, None] >> shifts) & mask
-            out[row[mine, None], place[mine, None] + lanes] = values
+            for lane in range(int(COUNTS[s])):
+                cells[to + lane] = (word >> np.uint64(lane * WIDTHS[s])) & mask
     raw = np.flatnonzero(kind == -1)
-    out[row[raw], place[raw]] = words[raw]
+    cells[place[raw]] = words[raw]
     return out[:, :BLOCK].reshape(-1)[:n]
 
 
@@ -209,23 +212,28 @@ def read_documents(uri: str) -> Iterator[tuple[int | None, int, bytes]]:
                 values = decode(words, per_block[i:j], min(n_ids, j * BLOCK) - i * BLOCK)
                 yield values.astype("<u4").tobytes()
 
-        left, start, source = b"", 0, pieces()
+        # ``at`` is where the next document starts in the piece at hand.
+        piece, at, start, source = b"", 0, 0, pieces()
         for doc_id, null, length in zip(doc_ids.tolist(), nulls.tolist(), lengths.tolist()):
-            parts, have = [left], len(left)
-            while have < 4 * length:
-                parts.append(next(source))
-                have += len(parts[-1])
-            joined = b"".join(parts) if len(parts) > 1 else left
-            yield None if null else doc_id, start, joined[: 4 * length]
-            left = joined[4 * length :]
+            end = at + 4 * length
+            ids = piece[at:end]
+            if end > len(piece):
+                parts = [ids]
+                while end > len(piece):
+                    end -= len(piece)
+                    piece = next(source)
+                    parts.append(piece[:end])
+                ids = b"".join(parts)
+            yield None if null else doc_id, start, ids
+            at = end
             start += length
 
 
 _MANIFEST = "part int, path string, n_docs bigint, n_ids bigint"
 _READ = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
-# Documents tokenized, or returned, at a time.
-_DOCS = 200
+# Bytes of text tokenized at a time, if no document is longer.
+_TEXT = 1 << 22
 
 
 def write_ids(
@@ -253,8 +261,7 @@ def write_ids(
         with whole_file(path) as out:
             writer = Writer(out)
             while first is not None:
-                for i in range(0, first.num_rows, _DOCS):
-                    some = first.slice(i, _DOCS)
+                for some in slices(first, _TEXT):
                     texts = [x or "" for x in some.column("text").to_pylist()]
                     for doc_id, ids in zip(some.column("doc_id").to_pylist(), coder.codes(texts)):
                         writer.add(doc_id, ids + b"\0\0\0\0")

@@ -105,6 +105,47 @@ def test_plain_pieces_are_coded_by_the_model(monkeypatch):
     assert coder.codes([text]) == [expected]
 
 
+def test_known_letters_and_white_space_are_coded_by_the_model(monkeypatch):
+    coder = Coder(queries.tokenizer_path())
+    texts = ["Où est l'élève ßqzxv?\n\nÀ 31 km", "x  y \n z \t", " ", "été  ", "\n a", "ñ\n"]
+    expected = [coder.whole(text) for text in texts]
+    coder.held.ids.clear()
+    coder.held.chunks.clear()
+    monkeypatch.setattr(coder.held, "tokenizer", SimpleNamespace(model=coder.held.tokenizer.model))
+    assert coder.codes(texts) == expected
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab é's\n\t.9"), max_size=30), max_size=4))
+def test_memo_cuts_white_space_as_the_library_does(texts):
+    coder = Coder(queries.tokenizer_path(), memo=20)
+    assert coder.codes(texts) == [coder.whole(text) for text in texts]
+
+
+def test_a_vocabulary_of_unknown_rule_is_coded_by_lines(monkeypatch):
+    coder = Coder(queries.tokenizer_path())
+    text = "Où est l'élève  ßqzxv?\n\nÀ 31 km"
+    expected = coder.whole(text)
+    monkeypatch.setattr(coder.held, "ids", {})
+    monkeypatch.setattr(coder.held, "line_feed", None)
+    assert coder.codes([text, "une"]) == [expected, coder.whole("une")]
+
+
+def test_documents_are_read_over_the_ends_of_pieces(tmp_path, monkeypatch):
+    monkeypatch.setattr(simple8b, "TOGETHER", 2)
+    rng = np.random.default_rng(4)
+    lengths = [0, 1, 2047, 1, 0, 2048, 5000, 3, 0]
+    docs = [rng.integers(0, 1 << 32, n).astype("<u4").tobytes() for n in lengths]
+    with open(tmp_path / "ids", "wb") as out:
+        writer = simple8b.Writer(out)
+        for number, ids in enumerate(docs):
+            writer.add(number, ids)
+        writer.finish()
+    starts = np.cumsum([0, *lengths])[:-1].tolist()
+    got = list(simple8b.read_documents(str(tmp_path / "ids")))
+    assert got == list(zip(range(len(docs)), starts, docs))
+
+
 def test_added_tokens_get_the_ids_of_the_library():
     from tokenizers import Tokenizer
 
