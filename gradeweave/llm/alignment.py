@@ -1,10 +1,12 @@
 """Which tokens of one tokenizer stand for which of another, over a whole corpus.
 
-Each text is coded whole by both vocabularies. Where tokens of both end at one byte and the next
-token of both begins with a space, the text is cut (the shared ends are checked on the bytes);
-between two such anchors lies a window of token ids, mostly of one word. A window's alignment
-depends on its ids alone, so each worker keeps the alignments of the windows it has met, by
-their id tuples. Links of token ids are counted per document first, then over documents.
+Where both vocabularies code the stretches between the spaces of a text one by one (``PairCoder``),
+and both give back the bytes of a stretch, its groups and links depend on it alone: each worker
+keeps the alignments of the stretches it has met. Any other text is coded whole by both. Where
+tokens of both end at one byte and the next token of both begins with a space, it is cut (the
+shared ends are checked on the bytes); between two such anchors lies a window of token ids, whose
+alignment depends on its ids alone and is kept by its id tuples. Links of token ids are counted
+per document first, then over documents.
 """
 
 from __future__ import annotations
@@ -21,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.llm.chunks import PairCoder, kept
+from gradeweave.llm.tokens import gathered, slices, stretches
 from gradeweave.operators.sizes import BROADCAST_BYTES, fits_broadcast
 from gradeweave.sources.shared import written
 
-# Chunks and windows kept per worker.
+# Parts of chunks, and alignments of chunks and of windows, kept per worker.
 MEMO = 600_000
 WINDOWS = 500_000
 
-# Documents aligned at a time.
-_DOCS = 100
+# Bytes of text aligned at a time, if no document is longer.
+_TEXT = 1 << 22
 
 # Ids are below 2^32, so a pair of them is one 64-bit number.
 _SHIFT = 32
@@ -68,6 +71,21 @@ def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> W
     return Window(len(groups), len(pairs), ";".join(groups), array("q", pairs).tobytes())
 
 
+class Chunk(NamedTuple):
+    n_a: int
+    n_b: int
+    window: Window
+
+
+class Rows(NamedTuple):
+    """Texts aligned together."""
+
+    numbers: np.ndarray  # of each text n_a, n_b, groups, links
+    digests: list[str]  # of the groups
+    row: np.ndarray  # the text of each link
+    pair: np.ndarray  # and its ids
+
+
 class Spelling:
     """The bytes of all tokens of a vocabulary behind each other."""
 
@@ -93,13 +111,86 @@ class Aligner:
         self.coder = coder
         self.memo = memo
         self.windows: dict[tuple[bytes, bytes], Window] = kept(f"windows_{coder.name}", dict)
+        self.chunks: dict[str, Chunk | None] = kept(f"chunks_{coder.name}", dict)
         self.spaced_a = np.array([x[:1] == b" " for x in coder.bytes_a])
         self.spaced_b = np.array([x[:1] == b" " for x in coder.bytes_b])
         self.spelled_a, self.spelled_b = Spelling(coder.bytes_a), Spelling(coder.bytes_b)
+        self.bits = len(coder.bytes_a).bit_length(), len(coder.bytes_b).bit_length()
         self.names, self.name_length = kept(
             f"names_{coder.name}", lambda: _names(len(coder.bytes_a), len(coder.bytes_b))
         )
 
+    def rows(self, texts: list[str]) -> Rows:
+        """The texts aligned, by the stretches between spaces where these can be told apart. Zeros
+        and no digest for a text that is empty or whose tokens have other bytes."""
+        if len(self.chunks) > self.memo:
+            self.chunks.clear()
+        numbers, digests = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
+        cut = [i for i, text in enumerate(texts) if text and not self.coder.whole(text)]
+        whole = set(range(len(texts))).difference(cut)
+        names, index, bounds = stretches([texts[i] for i in cut])
+        known = self.chunks
+        new = [name for name in names if name not in known]
+        if new:
+            known.update(zip(new, self.align_chunks(new)))
+        found = list(map(known.__getitem__, names))
+        if None in found:
+            # Texts with such a stretch are checked and aligned as a whole.
+            bad = np.array([chunk is None for chunk in found])
+            held = np.concatenate(([0], np.cumsum(bad[index])))[bounds]
+            good = np.flatnonzero(held[1:] == held[:-1])
+            whole = whole.union(cut).difference(cut[i] for i in good.tolist())
+            cut = [cut[i] for i in good.tolist()]
+            names, index, bounds = stretches([texts[i] for i in cut])
+            found = list(map(known.__getitem__, names))
+
+        groups = [chunk.window.text for chunk in found]
+        at = bounds.tolist()
+        for i, start, end in zip(cut, at, at[1:]):
+            of_text = ";".join(map(groups.__getitem__, index[start:end].tolist()))
+            digests[i] = hashlib.sha256(of_text.encode()).hexdigest()
+        pair, ends = gathered([chunk.window.pairs for chunk in found], 8, index)
+        links = np.diff(ends[bounds])
+        for column, of_chunk in enumerate(
+            ([x.n_a for x in found], [x.n_b for x in found], [x.window.groups for x in found])
+        ):
+            sums = np.cumsum(np.array(of_chunk, np.int64)[index])
+            numbers[cut, column] = np.diff(np.concatenate(([0], sums))[bounds])
+        numbers[cut, 3] = links
+        row, pair = [np.repeat(np.array(cut, np.int64), links)], [pair.astype(np.int64)]
+
+        rest = [i for i in sorted(whole) if texts[i]]
+        some = [texts[i] for i in rest]
+        for i, got in zip(rest, self.of_texts(some, self.coder.codes(some)) if some else ()):
+            if got:
+                *numbers[i], digests[i], pairs = got
+                row.append(np.full(len(pairs) // 8, i))
+                pair.append(np.frombuffer(pairs, np.int64))
+        return Rows(numbers, digests, np.concatenate(row), np.concatenate(pair))
+
+    def align_chunks(self, chunks: list[str]) -> list[Chunk | None]:
+        """The alignments of distinct stretches, each with the space before it; None where the
+        bytes of the tokens are others."""
+        keys = self.coder.of_chunks(chunks)
+        wholes = [b" " + chunk.encode() for chunk in chunks]
+        ends = np.cumsum(list(map(len, wholes)))
+        right = np.ones(len(chunks), bool)
+        for side, spelling in zip(zip(*keys), (self.spelled_a, self.spelled_b)):
+            ids = np.frombuffer(b"".join(side), "<u4")
+            last = np.cumsum([len(x) for x in side]) // 4
+            given = np.concatenate(([0], np.cumsum(spelling.length[ids])))[last]
+            if (given != ends).any() or not spelling.gives(ids, b"".join(wholes)):
+                right &= [
+                    spelling.gives(np.frombuffer(x, "<u4"), whole)
+                    for x, whole in zip(side, wholes)
+                ]
+        tidy = [key for key, is_right in zip(keys, right.tolist()) if is_right]
+        windows = iter(self.align_all(tidy) if tidy else ())
+        return [
+            Chunk(len(a) // 4, len(b) // 4, next(windows)) if is_right else None
+            for (a, b), is_right in zip(keys, right.tolist())
+        ]
+
     def of_text(self, text: str, ids: tuple[bytes, bytes]) -> tuple | None:
         """n_a, n_b, groups, links, digest of the groups, and the windows' pairs of ids; None if
         the bytes of the tokens are not those of a space and the text."""
@@ -234,20 +325,10 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, *, memo: int = MEM
         gc.disable()
         try:
             for batch in batches:
-                for i in range(0, batch.num_rows, _DOCS):
-                    some = batch.slice(i, _DOCS)
-                    texts = [x or "" for x in some.column("text").to_pylist()]
-                    rows, sizes, all_pairs = [], [], []
-                    full = [x for x in texts if x]
-                    found = iter(aligner.of_texts(full, coder.codes(full)))
-                    for text in texts:
-                        got = next(found) if text else None
-                        n_a, n_b, groups, links, digest, pairs = got or (0, 0, 0, 0, "", b"")
-                        rows.append((key, n_a, n_b, groups, links, digest))
-                        sizes.append(links)
-                        all_pairs.append(pairs)
-                        key += 1
-                    yield _batch(some.column("doc_id"), rows, sizes, b"".join(all_pairs))
+                for some in slices(batch, _TEXT):
+                    rows = aligner.rows([x or "" for x in some.column("text").to_pylist()])
+                    yield _batch(key, some.column("doc_id"), rows, aligner.bits)
+                    key += some.num_rows
         finally:
             gc.enable()
 
@@ -255,28 +336,26 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, *, memo: int = MEM
     return text.mapInArrow(run, _ALIGNED)
 
 
-def _batch(
-    doc_id: pa.Array, rows: list[tuple], sizes: list[int], pairs: bytes
-) -> pa.RecordBatch:
+def _batch(key: int, doc_id: pa.Array, rows: Rows, bits: tuple[int, int]) -> pa.RecordBatch:
     """The rows of a batch, the pairs of each document sorted and counted."""
-    pair = np.frombuffer(pairs, np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    order = np.lexsort((pair, row))
-    pair, row = pair[order], row[order]
-    new = np.ones(len(pair), bool)
-    new[1:] = (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])
-    at = np.flatnonzero(new)
-    times = np.diff(np.append(at, len(pair)))
-    bounds = np.searchsorted(row[at], np.arange(len(rows) + 1)).astype(np.int32)
-    key, n_a, n_b, groups, links, digest = (list(column) for column in zip(*rows))
-    numbers = [pa.array(x, pa.int64()) for x in (key, n_a, n_b, groups, links)]
+    n, (of_a, of_b) = len(doc_id), bits
+    # Text and pair as one number: ids have few bits.
+    both = np.sort(
+        (rows.row << of_a + of_b) | (rows.pair >> _SHIFT << of_b) | (rows.pair & (1 << _SHIFT) - 1)
+    )
+    at = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))[: len(both)])
+    times = np.diff(np.append(at, len(both)))
+    both = both[at]
+    pair = both >> of_b & (1 << of_a) - 1
+    pair = pair << _SHIFT | both & (1 << of_b) - 1
+    bounds = np.searchsorted(both, np.arange(n + 1) << of_a + of_b).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
-            numbers[0],
+            pa.array(np.arange(key, key + n), pa.int64()),
             doc_id.cast(pa.int64()),
-            *numbers[1:],
-            pa.array(digest, pa.string()),
-            pa.ListArray.from_arrays(pa.array(bounds), pa.array(pair[at], pa.int64())),
+            *[pa.array(rows.numbers[:, i], pa.int64()) for i in range(4)],
+            pa.array(rows.digests, pa.string()),
+            pa.ListArray.from_arrays(pa.array(bounds), pa.array(pair, pa.int64())),
             pa.ListArray.from_arrays(pa.array(bounds), pa.array(times, pa.int64())),
         ],
         _NAMES,

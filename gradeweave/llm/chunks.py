@@ -195,7 +195,7 @@ class PairCoder:
             self.ids.clear()
             if self.parts is not None:
                 self.parts.clear()
-        cut = [None if self._whole(text) else text.split(" ") for text in texts]
+        cut = [None if self.whole(text) else text.split(" ") for text in texts]
         self._learn(set().union(*(chunks for chunks in cut if chunks)).difference(self.ids))
         coded = []
         for text, chunks in zip(texts, cut):
@@ -206,7 +206,16 @@ class PairCoder:
                 coded.append((b"".join([x[0] for x in both]), b"".join([x[1] for x in both])))
         return coded
 
-    def _whole(self, text: str) -> bool:
+    def of_chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of distinct stretches between spaces, each with the space before it; only those
+        of their pre-tokens are kept."""
+        if self.parts is not None and len(self.parts) > self.memo:
+            self.parts.clear()
+        self._learn(set(chunks).difference(self.ids))
+        return list(map(self.ids.pop, chunks))
+
+    def whole(self, text: str) -> bool:
+        """Must it be coded as a whole?"""
         return (
             not text
             or self.whole_pieces

@@ -127,6 +127,31 @@ def test_windows_aligned_together_are_those_aligned_alone(paths):
         assert window == align(a, b, ends_a.tolist(), ends_b.tolist())
 
 
+def test_a_stretch_is_aligned_once_and_as_in_whole_texts(paths, monkeypatch):
+    coder = PairCoder(*paths)
+    aligner = Aligner(coder)
+    aligner.chunks.clear()
+    met = []
+    one_by_one = aligner.align_chunks
+    monkeypatch.setattr(aligner, "align_chunks", lambda new: met.extend(new) or one_by_one(new))
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abeinrst.,1é日\n", k=rng.randrange(1, 9))) for _ in range(300)]
+    # The full-width letter and the ligature are changed by the piece vocabulary.
+    words += ["ａb", "ﬁn", "▁", "", "<s>", "a\x00b"]
+    texts = ["", *[" ".join(rng.choices(words, k=rng.randrange(1, 30))) for _ in range(400)], ""]
+    rows = aligner.rows(texts[:200]), aligner.rows(texts[200:])
+    assert len(met) == len(set(met)) > 200
+    expected = [x and aligner.of_text(x, coder.by_library(x)) or (0, 0, 0, 0, "", b"") for x in texts]
+    assert sum(x[0] == 0 for x in expected) > 10
+    numbers = np.concatenate([x.numbers for x in rows]).tolist()
+    digests = rows[0].digests + rows[1].digests
+    assert [(*n, d) for n, d in zip(numbers, digests)] == [x[:5] for x in expected]
+    for part, some in zip(rows, (expected[:200], expected[200:])):
+        for i, x in enumerate(some):
+            pairs = sorted(np.frombuffer(x[5], np.int64).tolist())
+            assert sorted(part.pair[part.row == i].tolist()) == pairs
+
+
 def test_coder_is_the_libraries(paths):
     rng = random.Random(1)
     parts = ["a", "B", " ", "  ", "\n", "'s", "1", "é", "J", "<|endoftext|>", "<s>", "▁", "日",
